@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing, quality_rules, sharding
+from . import (
+    embed_join,
+    html_extract,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    packing,
+    quality_rules,
+    sharding,
+    sp_sampling,
+)
 from .common import table
 
 
@@ -21,6 +31,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
@@ -31,12 +45,27 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sp_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model, k=2, with_ids=False).drop("ids")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_sharding, op4_line_dedup, op5_language_id, op7_quality_rules, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_html_extract,
+        op4_line_dedup,
+        op5_language_id,
+        op6_embedding_dedup,
+        op7_quality_rules,
+        op8_lm_scoring,
+        op9_sp_sampling,
+        op10_packing,
+    )
 }
 
 SQL: dict[str, str] = {
