@@ -32,10 +32,13 @@ def line_keys(lines):
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_lines, n_dropped, kept_text."""
+def dedup_lines(
+    docs: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row of docs: doc_id, n_lines, n_dropped, kept_text, and a struct ``row`` of the columns in carry."""
     rows = docs.select(
         F.col(key).alias("doc_id"),
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []),
         F.coalesce(F.col(key), F.lit(LAST)).alias("d"),
         F.coalesce(F.col(text), F.lit("")).alias("body"),
     ).withColumn("th", F.xxhash64("body"))
@@ -68,5 +71,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, key: str = "doc_id", text:
             F.when(F.col("gone").isNull(), F.col("body"))
             .otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
             .alias("kept_text"),
+            *(["row"] if carry else []),
         )
     )

@@ -110,3 +110,28 @@ def judge(
     return facts.join(host_verdicts(facts, max_rate), "host").withColumn(
         "kept", ~F.col("base_failed") & F.col("host_ok")
     )
+
+
+#: Host names up to this number are sent to all tasks; more are joined by a shuffle.
+SENT_HOSTS = 500_000
+
+
+def keep_good(
+    docs: DataFrame,
+    min_words: int = 50,
+    max_repeat: int = 50,
+    max_rate: float = 0.8,
+    key: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with their own columns. Only the hosts'
+    table is joined, so texts are not shuffled."""
+    verdicts = judge(docs, min_words, max_repeat, max_rate, key, text, host).select("host", "host_ok")
+    bad = settle(verdicts.where(~F.col("host_ok")).select("host").distinct(), "bad_hosts")
+    if bad.count() <= SENT_HOSTS:
+        bad = F.broadcast(bad)
+    n_words, n_repeat = F.col("__tessera_facts.n_words"), F.col("__tessera_facts.n_repeat_words")
+    failed = (n_words < min_words) | (100 * n_repeat > max_repeat * n_words)
+    good = docs.withColumn("__tessera_facts", facts_of(F.col(text))).where(~failed).drop("__tessera_facts")
+    return good.join(bad, F.coalesce(docs[host], F.lit("\x00none")) == bad["host"], "left_anti")

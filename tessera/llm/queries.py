@@ -11,6 +11,7 @@ from . import (
     language_id,
     line_dedup,
     lm_scoring,
+    near_dedup,
     packing,
     quality_rules,
     sharding,
@@ -35,6 +36,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
@@ -77,6 +82,7 @@ QUERIES = {
     for f in (
         op1_sharding,
         op2_html_extract,
+        op3_near_dedup,
         op4_line_dedup,
         op5_language_id,
         op6_embedding_dedup,
