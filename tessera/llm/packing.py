@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
-from itertools import chain
+from array import array
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +30,11 @@ from .common import settle
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Byte-level vocabularies write bytes without a glyph as the characters from U+0100 on.
+BYTE_CHARS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Words of one generation whose ids a worker remembers.
+REMEMBERED = 700_000
 PIECE = [
     ("doc_id", pa.int64()),
     ("start", pa.int64()),
@@ -51,36 +54,84 @@ DDL = (
 )
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit bytes. The tokenizer drops white space
-    and never looks across it, so words can be encoded one by one."""
+class Known(dict):
+    """Words with their ids; those it lacks are noted."""
+
+    missed: set[bytes]
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.missed.add(word)
+        return b""
+
+
+class WordIds:
+    """Word -> its ids as little-endian 32-bit bytes. The tokenizer drops white space,
+    never looks across it and lower-cases, so words can be encoded one by one, with A-Z
+    in lower case. Of two generations of words, those used lately are kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merges = self.model.model
+        self.tails: dict[str, bytes] = {}
+        self.now, self.old = Known(), Known()
+
+    def _merged(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words of Latin letters, with or without punctuation after them, go straight
+        to the merges, as the tokenizer's rules would have it; others through all of it."""
+        other = []
+        now = self.now
+        for w in words:
+            if w.isalpha():
+                now[w] = self._merged(w.decode())
+                continue
+            text = w.decode("utf-8", "replace")
+            if not (m := PLAIN.fullmatch(text)):
+                other.append((w, text))
+                continue
+            ids = self._merged(m[1].lower().encode().decode("latin-1").translate(BYTE_CHARS))
+            if m[2]:
+                if (tail := self.tails.get(m[2])) is None:
+                    tail = array("I", self.model.encode(m[2], add_special_tokens=False).ids).tobytes()
+                    self.tails[m[2]] = tail
+                ids += tail
+            now[w] = ids
+        encoded = self.model.encode_batch_fast([x for _, x in other], add_special_tokens=False)
+        for (w, _), e in zip(other, encoded):
+            now[w] = array("I", e.ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [w for w in words if w not in self]
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for w, e in zip(new, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        self.learn({word})
-        return self[word]
+        if len(self.now) > REMEMBERED:
+            self.now, self.old = Known(), self.now
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+        new = []
+        for w in words:
+            if (x := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.now[w] = x
+        self._encode(new)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each with the closing id."""
-        end = np.array([END_ID], "<u4").tobytes()
-        split = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        self.learn(set(chain.from_iterable(split)))
-        return [b"".join(map(self.__getitem__, ws)) + end for ws in split]
+        end = array("I", [END_ID]).tobytes()
+        split = [(x or "").encode("utf-8", "replace").lower().split() for x in texts]
+        self.now.missed = set()
+        look = self.now.__getitem__
+        looked = [list(map(look, words)) for words in split]
+        self.learn(self.now.missed)
+        now, old = self.now, self.old
+        return [
+            b"".join([x or now.get(w) or old[w] for w, x in zip(words, found)]) + end
+            for words, found in zip(split, looked)
+        ]
 
 
 @functools.lru_cache(maxsize=1)
