@@ -34,7 +34,7 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Byte-level vocabularies write bytes without a glyph as the characters from U+0100 on.
 BYTE_CHARS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Words of one generation whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 PIECE = [
     ("doc_id", pa.int64()),
     ("start", pa.int64()),
@@ -119,6 +119,11 @@ class WordIds:
                 self.now[w] = x
         self._encode(new)
 
+    def forget(self) -> None:
+        """Leaves nothing behind in a worker that goes on to other tasks."""
+        self.tails.clear()
+        self.now, self.old = Known(), Known()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each with the closing id."""
         end = array("I", [END_ID]).tobytes()
@@ -208,6 +213,7 @@ def pack(
                     streams.add(next((t for t in tiers if total <= t), tiers[-1]), doc_id, total, 0, ids)
                 if len(streams.rows) > 10_000:
                     yield streams.take()
+        words.forget()
         streams.rows += [(*r[:5], part, -1, *r[7:]) for r in streams.left()]
         yield streams.take()
 
