@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, near_dedup, packing, quality_rules
-from tessera.llm.common import settle, table
+from tessera.llm.common import settle, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     predict = language_id.predictor(language_id.learn(docs))
     known = docs.withColumn("__tessera_lang", predict(F.col("text")))
     return known.where(F.col("__tessera_lang.lang_pred") != "und").drop("__tessera_lang")
@@ -40,10 +42,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.keep_first(docs, width=5, threshold=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -17,7 +17,19 @@ from pyspark.sql.column import Column
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch: texts are long, and both ends hold whole batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small; a smaller setting of the session's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

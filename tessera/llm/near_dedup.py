@@ -45,7 +45,7 @@ SENT_IDS = 2_000_000
 
 def hash_words(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(seen) > 200_000:
+    if len(seen) > 100_000:
         seen.clear()
     out = []
     for w in words:

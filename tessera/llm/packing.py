@@ -34,7 +34,7 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Byte-level vocabularies write bytes without a glyph as the characters from U+0100 on.
 BYTE_CHARS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Words of one generation whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 PIECE = [
     ("doc_id", pa.int64()),
     ("start", pa.int64()),
