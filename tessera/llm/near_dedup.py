@@ -9,10 +9,10 @@ Candidates are neighbours in sorted order, those with the longest common prefixe
 how deep a region's order must be followed is up to the region, since a dense one
 puts neighbours with long common prefixes next to each other and a sparse one short
 ones. The first round takes the next neighbour; later rounds take, of the nearest
-``window`` neighbours in other components, the one whose signature agrees most, and
-go one rank further each round. Rounds end when one confirms no link. A class costs
-one candidate a tree and round, whatever its region holds, so no round grows with the
-square of a group. Candidates are confirmed by intersecting the full shingle sets.
+``window`` neighbours in other components, the two whose signatures agree most, and go
+two ranks further each round. Rounds end when one confirms no link. A class costs two
+candidates a tree and round at most, whatever its region holds, so no round grows with
+the square of a group. Candidates are confirmed by intersecting the full shingle sets.
 
 Sorting is by range, so a region with a third of all rows is spread over tasks.
 
@@ -39,6 +39,8 @@ from .components import connected
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Standard deviations of signature agreement that a pair at the threshold may fall short.
 SLACK = 3.7
+#: Candidates that a class takes from its window in a round after the first.
+A_ROUND = 2
 #: Ids up to this number are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
@@ -113,7 +115,7 @@ def sketch(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
-def neighbours(forest: DataFrame, threshold: float, window: int, rank: int, parts: int) -> DataFrame:
+def neighbours(forest: DataFrame, threshold: float, window: int, ranks: range, parts: int) -> DataFrame:
     """forest (key, tree, rep, n, sig, label) -> candidate pairs (u, v) of other labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +142,15 @@ def neighbours(forest: DataFrame, threshold: float, window: int, rank: int, part
                 k, j = k[ok], j[ok]
                 if len(k):
                     agree[k - new, o - 1] = (sig[k] == sig[j]).sum(1)
-            if rank < window:
-                best = np.argsort(-agree.astype(np.int16), 1, kind="stable")[:, rank]
-                score = agree[np.arange(len(at)), best]
-                good = (score >= least) & (score > 0)
-                k = at[good]
-                j = k - best[good] - 1
-                u, v = np.minimum(rep[k], rep[j]), np.maximum(rep[k], rep[j])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            best = np.argsort(-agree.astype(np.int16), 1, kind="stable")
+            for rank in ranks:
+                if rank < window:
+                    score = agree[np.arange(len(at)), best[:, rank]]
+                    good = (score >= least) & (score > 0)
+                    k = at[good]
+                    j = k - best[good, rank] - 1
+                    u, v = np.minimum(rep[k], rep[j]), np.maximum(rep[k], rep[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     ordered = forest.repartitionByRange(parts, "key", "order", "rep").sortWithinPartitions("key", "order", "rep")
     return ordered.select("key", "rep", "n", "label", "sig").mapInArrow(run, "u long, v long").distinct()
@@ -212,7 +215,8 @@ def near_duplicates(
                 .withColumn("label", F.coalesce("component", "rep"))
                 .drop("component")
             )
-        pairs = neighbours(state, threshold, 1 if number == 0 else window, max(0, number - 1), parts)
+        ranks = range(1) if number == 0 else range(A_ROUND * (number - 1), A_ROUND * number)
+        pairs = neighbours(state, threshold, 1 if number == 0 else window, ranks, parts)
         both = (
             pairs.join(members.toDF("u", "a"), "u")
             .join(members.toDF("v", "b"), "v")
