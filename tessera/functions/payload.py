@@ -116,7 +116,7 @@ def response_changed(raw: Column, current: Column) -> Column:
 
 
 def behaviors(raw: Column, most: int = 5) -> Column:
-    return F.slice(F.filter(F.transform(raw, F.trim), lambda x: x != ""), 1, most)
+    return F.slice(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
 
 
 def is_truncation(error: Column) -> Column:
