@@ -9,9 +9,9 @@ Candidates are neighbours in sorted order, those with the longest common prefixe
 how deep a region's order must be followed is up to the region, since a dense one
 puts neighbours with long common prefixes next to each other and a sparse one short
 ones. The first round takes the next neighbour; later rounds take, of the nearest
-``window`` neighbours in other components, the two whose signatures agree most, and go
-two ranks further each round. Rounds end when one confirms no link. A class costs two
-candidates a tree and round at most, whatever its region holds, so no round grows with
+``window`` neighbours in other components, the one whose signature agrees most, and go
+one rank further each round. Rounds end when one confirms no link. A class costs one
+candidate a tree and round at most, whatever its region holds, so no round grows with
 the square of a group. Candidates are confirmed by intersecting the full shingle sets.
 
 Sorting is by range, so a region with a third of all rows is spread over tasks.
@@ -40,7 +40,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Standard deviations of signature agreement that a pair at the threshold may fall short.
 SLACK = 3.7
 #: Candidates that a class takes from its window in a round after the first.
-A_ROUND = 2
+A_ROUND = 1
 #: Ids up to this number are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
