@@ -5,14 +5,14 @@ signature, and each tree of the forest sorts the classes by another rotation of
 classes that share a tree's first ``depth`` hashes form a region. With 32 trees of
 depth 4 a pair at the threshold 0.8 misses all regions with a chance of 5e-8.
 
-Candidates are neighbours in sorted order, those with the longest common prefixes:
-how deep a region's order must be followed is up to the region, since a dense one
-puts neighbours with long common prefixes next to each other and a sparse one short
-ones. The first round takes the next neighbour; later rounds take, of the nearest
-``window`` neighbours in other components, the one whose signature agrees most, and go
-one rank further each round. Rounds end when one confirms no link. A class costs one
-candidate a tree and round at most, whatever its region holds, so no round grows with
-the square of a group. Candidates are confirmed by intersecting the full shingle sets.
+The first round takes as candidates the neighbours in sorted order. Later rounds look at
+all pairs of other components that share a region and whose signatures agree enough:
+of these each class takes its best ``share``, and the share widens when a round confirms
+no link. Rounds end when one has left no such pair out, so each pair above the signature
+bound has then been confirmed, rejected, or joined by other links. Regions of one
+component are dropped between rounds. A region above ``block`` rows is cut into blocks
+compared in pairs, those of one large component never with each other, so that no task
+grows with a region. Candidates are confirmed by intersecting the full shingle sets.
 
 Sorting is by range, so a region with a third of all rows is spread over tasks.
 
@@ -39,8 +39,10 @@ from .components import connected
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Standard deviations of signature agreement that a pair at the threshold may fall short.
 SLACK = 3.7
-#: Candidates that a class takes from its window in a round after the first.
-A_ROUND = 1
+#: Factor by which the candidates of a class widen after a round without a link.
+WIDER = 8
+#: Rows compared at once in a task, beyond those of one pair of blocks.
+AT_ONCE = 4096
 #: Ids up to this number are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
@@ -115,45 +117,130 @@ def sketch(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
-def neighbours(forest: DataFrame, threshold: float, window: int, ranks: range, parts: int) -> DataFrame:
-    """forest (key, tree, rep, n, sig, label) -> candidate pairs (u, v) of other labels."""
+def least_agreement(threshold: float, size: int) -> int:
+    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / size)
+    return max(1, math.ceil(least * size))
+
+
+def neighbours(forest: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """forest (key, order, rep, n, sig) -> pairs (u, v) of next neighbours in a region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, rep, n, label = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
-            sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(key), -1)
-            new = 0
+            key, rep, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
             if held is not None:
-                new = len(held[0])
-                key, rep, n, label, sig = (np.concatenate(x) for x in zip(held, (key, rep, n, label, sig)))
-            held = tuple(x[-window:].copy() for x in (key, rep, n, label, sig))
-            least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / sig.shape[1])
-            least = math.ceil(max(0.0, least) * sig.shape[1])
-            at = np.arange(new, len(key))
-            agree = np.zeros((len(at), window), np.uint8)
-            for o in range(1, window + 1):
-                k = at[at >= o]
-                j = k - o
-                ok = (key[k] == key[j]) & (label[k] != label[j])
-                ok &= np.minimum(n[k], n[j]) >= threshold * np.maximum(n[k], n[j]) - 1e-9
-                k, j = k[ok], j[ok]
-                if len(k):
-                    agree[k - new, o - 1] = (sig[k] == sig[j]).sum(1)
-            best = np.argsort(-agree.astype(np.int16), 1, kind="stable")
-            for rank in ranks:
-                if rank < window:
-                    score = agree[np.arange(len(at)), best[:, rank]]
-                    good = (score >= least) & (score > 0)
-                    k = at[good]
-                    j = k - best[good, rank] - 1
-                    u, v = np.minimum(rep[k], rep[j]), np.maximum(rep[k], rep[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                key, rep, n, sig = (np.concatenate(x) for x in zip(held, (key, rep, n, sig)))
+            held = tuple(x[-1:].copy() for x in (key, rep, n, sig))
+            ok = (key[1:] == key[:-1]) & (rep[1:] != rep[:-1])
+            ok &= np.minimum(n[1:], n[:-1]) >= threshold * np.maximum(n[1:], n[:-1]) - 1e-9
+            k = np.nonzero(ok)[0]
+            k = k[(sig[k] == sig[k + 1]).sum(1) >= least_agreement(threshold, sig.shape[1])]
+            u, v = np.minimum(rep[k], rep[k + 1]), np.maximum(rep[k], rep[k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     ordered = forest.repartitionByRange(parts, "key", "order", "rep").sortWithinPartitions("key", "order", "rep")
-    return ordered.select("key", "rep", "n", "label", "sig").mapInArrow(run, "u long, v long").distinct()
+    return ordered.select("key", "rep", "n", "sig").mapInArrow(run, "u long, v long").distinct()
+
+
+def mixed(state: DataFrame) -> DataFrame:
+    """The rows of state (key, rep, n, sig, label) in regions of several components, with ``size``."""
+    regions = state.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return state.join(regions.where("lo <> hi").select("key", "size"), "key")
+
+
+def in_blocks(live: DataFrame, block: int) -> DataFrame:
+    """live (key, rep, n, sig, label, size) -> also (a, b, side): blocks compared with each other.
+
+    Blocks of a component with ``block`` rows of a region hold it alone."""
+    whole = live.where(F.col("size") <= block)
+    zero = [F.lit(0).cast("long").alias(c) for c in "ab"] + [F.lit(0).alias("side")]
+    cols = ["key", "rep", "n", "sig", "label"]
+    large = live.where(F.col("size") > block)
+    held = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+    pooled = held.groupBy("key").agg(F.sum(F.when(F.col("c") < block, F.col("c"))).alias("rest"))
+    alone = F.col("c") >= block
+    salt = F.when(alone, F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / block))).otherwise(
+        F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / block))
+    )
+    owner = F.when(alone, F.col("label"))
+    rows = large.join(held, ["key", "label"]).join(pooled, "key").withColumn("owner", owner).withColumn(
+        "at", F.xxhash64("owner", salt)
+    )
+    blocks = rows.select("key", "owner", "at").distinct()
+    other = blocks.withColumnsRenamed({"owner": "owner2", "at": "at2"})
+    pairs = (
+        blocks.join(other, "key")
+        .where("at <= at2 and not (owner is not null and owner2 is not null and owner = owner2)")
+        .select("key", F.col("at").alias("a"), F.col("at2").alias("b"))
+    )
+    sides = pairs.select("*", F.col("a").alias("at"), F.lit(0).alias("side")).union(
+        pairs.where("a <> b").select("*", F.col("b").alias("at"), F.lit(1).alias("side"))
+    )
+    return whole.select(*cols, *zero).union(rows.join(sides, ["key", "at"]).select(*cols, "a", "b", "side"))
+
+
+def across(blocks: DataFrame, threshold: float, share: int, parts: int) -> DataFrame:
+    """blocks (see in_blocks) -> pairs (u, v) of other labels whose signatures agree, the best
+    ``share`` of each class; ``more`` where others were left out."""
+
+    def compare(key, a, b, side, rep, n, label, sig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        start = np.nonzero(first)[0]
+        place = np.arange(len(key)) - start[np.cumsum(first) - 1]
+        least = least_agreement(threshold, sig.shape[1])
+        found = []
+        for o in range(1, int(place.max()) + 1):
+            k = np.nonzero(place >= o)[0]
+            j = k - o
+            ok = (label[k] != label[j]) & ((a[k] == b[k]) | (side[k] != side[j]))
+            ok &= np.minimum(n[k], n[j]) >= threshold * np.maximum(n[k], n[j]) - 1e-9
+            k, j = k[ok], j[ok]
+            if len(k):
+                score = (sig[k] == sig[j]).sum(1)
+                good = score >= least
+                found.append((k[good], j[good], score[good]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        k, j, score = (np.concatenate(x) for x in zip(*found))
+        taken = np.zeros(len(k), bool)
+        for end in (k, j):
+            by = np.lexsort((-score, end))
+            e = end[by]
+            new = np.concatenate([[True], e[1:] != e[:-1]])[: len(e)]
+            rank = np.arange(len(e)) - np.nonzero(new)[0][np.cumsum(new) - 1] if len(e) else e
+            taken[by[rank < share]] = True
+        more = np.zeros(int(taken.sum()), bool)
+        more[:1] = not taken.all()
+        return np.minimum(rep[k], rep[j])[taken], np.maximum(rep[k], rep[j])[taken], more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        names = ["u", "v", "more"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [batch.column(i).to_numpy() for i in range(7)]
+            got.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
+            if len(held[0]) < AT_ONCE:
+                continue
+            key, a, b = held[:3]
+            last = (key == key[-1]) & (a == a[-1]) & (b == b[-1])
+            cut = len(key) - int(last.sum())
+            if cut:
+                out = compare(*(x[:cut] for x in held))
+                held = [x[cut:].copy() for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(*held)], names=names)
+
+    dealt = blocks.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    found = dealt.select("key", "a", "b", "side", "rep", "n", "label", "sig").mapInArrow(run, "u long, v long, more boolean")
+    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -181,8 +268,7 @@ def near_duplicates(
     threshold: float = 0.8,
     trees: int = 32,
     depth: int = 4,
-    window: int = 64,
-    max_rounds: int = 32,
+    block: int = 512,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -206,17 +292,8 @@ def near_duplicates(
         "forest",
     )
     members = full_sets(docs, forest.select(F.col("rep").alias("node")).distinct(), width)
-    links = labels = None
-    for number in range(max_rounds):
-        state = forest.withColumn("label", F.col("rep"))
-        if labels is not None:
-            state = (
-                forest.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                .withColumn("label", F.coalesce("component", "rep"))
-                .drop("component")
-            )
-        ranks = range(1) if number == 0 else range(A_ROUND * (number - 1), A_ROUND * number)
-        pairs = neighbours(state, threshold, 1 if number == 0 else window, ranks, parts)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         both = (
             pairs.join(members.toDF("u", "a"), "u")
             .join(members.toDF("v", "b"), "v")
@@ -224,13 +301,31 @@ def near_duplicates(
             .where(F.col("i") >= threshold * (F.col("s") - F.col("i")) - 1e-9)
             .select("u", "v")
         )
-        found = settle(both, "confirmed")
-        if not found.count():
-            if number > 0:
-                break
-            continue
-        links = found if links is None else links.union(found)
-        labels = settle(connected(links), "labels")
+        return settle(both, "confirmed")
+
+    tested = settle(neighbours(forest, threshold, parts), "pairs")
+    links = confirmed(tested)
+    labels = settle(connected(links), "labels") if links.count() else None
+    live, share, more = forest.select("key", "rep", "n", "sig"), 1, True
+    while more:
+        state = live.withColumn("label", F.col("rep"))
+        if labels is not None:
+            state = (
+                live.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                .withColumn("label", F.coalesce("component", "rep"))
+                .drop("component")
+            )
+        state = settle(mixed(state), "mixed")
+        pairs = settle(across(in_blocks(state, block), threshold, share, parts), "pairs")
+        more = pairs.where("more").limit(1).count() > 0
+        new = confirmed(pairs.select("u", "v").join(tested, ["u", "v"], "left_anti"))
+        tested = tested.union(pairs.select("u", "v"))
+        live = state.select("key", "rep", "n", "sig")
+        if new.count():
+            links = links.union(new)
+            labels = settle(connected(links), "labels")
+        else:
+            share *= WIDER
     resolved = classes
     if labels is not None:
         resolved = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")

@@ -195,6 +195,27 @@ def test_near_dedup(spark, corpus):
     assert near_dedup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_near_dedup_dense_region_with_one_bridge(spark):
+    r = random.Random(7)
+
+    def copy(side, noise, k):
+        x = [f"{side}{i}" if i < 21 else f"w{i}" for i in range(200)]
+        for i in r.sample(range(21, 200), noise):
+            x[i] = f"n{k}x{i}"
+        return " ".join(x)
+
+    # Two groups of near copies, of which only the two texts without noise link with each other.
+    rows = [(k, copy("ab"[k % 2], 0 if k in (300, 301) else 3, k), "en", "s") for k in range(400)]
+    sets = sets_of(rows, 1)
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert [(a, b) for a, b in near if a % 2 != b % 2] == [(300, 301)]
+    got = near_dedup.near_duplicates(docs_of(spark, rows), width=1).collect()
+    assert {x.component_id for x in got} == {0}
+    small = near_dedup.near_duplicates(docs_of(spark, rows), width=1, block=50).collect()
+    assert sorted(small) == sorted(got)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
