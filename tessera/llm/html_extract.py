@@ -6,11 +6,12 @@ host with the same occurrence vector (how often each occurs on each page) form a
 equivalence class; vectors are compared by a sum of hashes of (page, count), so they
 are aggregated like any sum, combined before the shuffle, and a host with a third of
 all pages costs no task more than another. Classes on at least half of a host's
-pages, with an element, are valid; each nests in the class that holds the longest
-prefix of its paths. The template is their tree. Its constant text and its chrome
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are dropped;
-the slot that holds the article, and everything in it, is extracted. A page that
-lacks its host's article slot is its own template.
+pages, with an element, are valid. Text blocks of valid classes are the template's
+constant text, inside the article as well; they and chrome (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) are dropped. The slot that holds the
+article is chosen among the elements of valid classes by its name or by its text, not by
+the nesting of the classes; all else in it is extracted. A page that lacks its host's
+article slot is its own template; a page with constant text alone keeps it.
 
 Defined results: null or empty html gives an empty text; pages without a url form a
 host of their own; repeated rows count each; a tag or comment that never closes is
@@ -207,29 +208,16 @@ def article_slots(elements: dict[str, tuple[float, bool]]) -> list[str]:
 
 
 def deduce(n_pages: int, tokens: list[dict]) -> str:
-    """The template of a host as JSON: its nested classes, article slots and constant text.
+    """The template of a host as JSON: its article slots and constant text.
 
     tokens: path, block (hash of a text block, or null), vector, pages, total, mass, place."""
     classes: dict[int, list[dict]] = defaultdict(list)
     for t in tokens:
         classes[t["vector"]].append(t)
-    valid = []
-    for members in classes.values():
-        elements = sorted((t for t in members if t["block"] is None), key=lambda t: (t["place"] / t["pages"], t["path"]))
-        if elements:
-            valid.append((elements, [t for t in members if t["block"] is not None]))
-    owner = {t["path"]: k for k, (elements, _) in enumerate(valid) for t in elements}
-    tree = []
-    for elements, _ in valid:
-        up = elements[0]["path"]
-        while up and (up == elements[0]["path"] or up not in owner or owner[up] == owner[elements[0]["path"]]):
-            up = up[: up.rindex("/")]
-        tree.append({"in": owner.get(up, -1), "tokens": [t["path"] for t in elements]})
-    found = {t["path"]: (t["mass"], t["total"] == t["pages"]) for elements, _ in valid for t in elements}
-    constant = [
-        [t["path"], t["block"]] for _, blocks in valid for t in blocks if n_pages >= 8 and t["total"] == t["pages"]
-    ]
-    return json.dumps({"classes": tree, "slots": article_slots(found), "constant": constant})
+    valid = [m for m in classes.values() if any(t["block"] is None for t in m)]
+    found = {t["path"]: (t["mass"], t["total"] == t["pages"]) for m in valid for t in m if t["block"] is None}
+    constant = [[t["path"], t["block"]] for m in valid for t in m if t["block"] is not None and n_pages >= 8]
+    return json.dumps({"slots": article_slots(found), "constant": constant})
 
 
 @functools.lru_cache(maxsize=4096)
@@ -250,15 +238,9 @@ def main_text(html: str, tree: str | None) -> str:
         slots = article_slots({p: (mass[p], c == 1) for p, (c, _) in page.elements.items()})
         if not slots and page.blocks:
             slots = [""]
-    named = any(last(s).startswith(("article", "main")) for s in slots if s)
-    out = []
-    for path, skip, text in page.blocks:
-        if skip or not (within(path, slots) or slots == [""]):
-            continue
-        if not named and (path, crc32(text.encode("utf-8", "replace"))) in constant:
-            continue
-        out.append(text)
-    return "\n".join(out)
+    kept = [(path, text) for path, skip, text in page.blocks if not skip and (within(path, slots) or slots == [""])]
+    own = [text for path, text in kept if (path, crc32(text.encode("utf-8", "replace"))) not in constant]
+    return "\n".join(own or [text for _, text in kept])
 
 
 TOKEN = "host string, path string, block long, vector decimal(38,0), pages long, total long, mass long, place long"
@@ -290,8 +272,8 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mass = page.mass()
             for path, (count, place) in page.elements.items():
                 add(host, path, None, row, count, mass[path], place)
-            outside = Counter((p, crc32(t.encode("utf-8", "replace"))) for p, _, t in page.blocks if not re.search(r"/(article|main)\b", p))
-            for (path, block), count in outside.items():
+            texts = Counter((p, crc32(t.encode("utf-8", "replace"))) for p, skip, t in page.blocks if not skip)
+            for (path, block), count in texts.items():
                 add(host, path, block, row, count, 0, 0)
             if len(sums) > FLUSH:
                 yield out()

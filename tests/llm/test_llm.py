@@ -348,6 +348,19 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def html_texts(spark, rows):
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_html_drops_constant_text_in_the_article(spark):
+    page = "<html><body><article><h1>Head {0}</h1><p>Body {0}</p><div class=box><p>Written by us</p></div><div class=x><p>twice</p></div><div class=x><p>twice</p></div></article></body></html>"
+    texts = html_texts(spark, [(i, f"http://a.example/{i}", page.format(i)) for i in range(10)])
+    assert texts == {i: f"Head {i}\nBody {i}" for i in range(10)}
+    same = html_texts(spark, [(i, f"http://a.example/{i}", page.format(0)) for i in range(10)])
+    assert same[0].startswith("Head 0\nBody 0")
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
