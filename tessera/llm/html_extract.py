@@ -41,6 +41,8 @@ TAG = re.compile(
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
+#: Paths at or below the article's element.
+INSIDE = re.compile(r"/(?:article|main)(?=[#./]|$)")
 # Elements by what they do to text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,13 +69,18 @@ ENDS_P = frozenset(
     " hr main menu nav ol p pre section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Share of a host's text that a container must hold to be its article slot.
-MASS = 0.6
+#: Chrome outside the article alone: inside, they hold its headline.
+HEADER_NAMES = frozenset("header masthead banner".split())
 
 
-def chrome(tag: str, marks: set[str], inside_main: bool) -> bool:
-    if tag in CHROME_TAGS or tag == "header" and not inside_main:
-        return True
+def chrome(tag: str, marks: set[str], names: set[str], inside_main: bool) -> bool:
+    """marks: all words of class, id and role; names: their values as they stand.
+
+    Inside the article one word of a name ('entry-header') is not enough."""
+    if tag in CHROME_TAGS or tag == "header":
+        return tag != "header" or not inside_main
+    if inside_main:
+        return tag not in ("article", "main") and not names.isdisjoint(CHROME_NAMES - HEADER_NAMES)
     return tag not in ("html", "body", "article", "main") and not marks.isdisjoint(CHROME_NAMES)
 
 
@@ -130,13 +137,17 @@ class Page:
             self._text.append(" ")
             return
         marks: set[str] = set()
+        names: set[str] = set()
         label = tag
         if "=" in attrs:
             for k, *v in MARKS.findall(attrs):
                 value = next((x for x in v if x), "").lower()
                 marks.update(NAME.findall(value))
+                names.update(value.split())
                 label += "#." [k.lower() == "class"] + DIGITS.sub("0", " ".join(sorted(value.split()))).replace("/", "_")
-        if tag in INLINE and marks.isdisjoint(CHROME_NAMES):
+        _, path, out = self._stack[-1]
+        inside = bool(INSIDE.search(path))
+        if tag in INLINE and (names if inside else marks).isdisjoint(CHROME_NAMES):
             return
         if tag not in INLINE:
             self._flush()
@@ -154,11 +165,11 @@ class Page:
         if tag in VOID:
             return
         _, path, out = self._stack[-1]
-        inside = "/article" in path or "/main" in path
+        inside = bool(INSIDE.search(path))
         path = f"{path}/{label}"
         seen = self.elements.setdefault(path, [0, len(self.elements)])
         seen[0] += 1
-        out = out or chrome(tag, marks, inside)
+        out = out or chrome(tag, marks, names, inside)
         self._stack.append((tag, path, out))
 
     def _close(self, tag: str) -> None:
@@ -193,21 +204,14 @@ def article_slots(elements: dict[str, tuple[float, bool]]) -> list[str]:
     """Paths of the article's slots. elements: path -> (mass of text outside chrome, once a page)."""
     named = [p for p, (m, _) in elements.items() if m > 0 and re.match(r"(article|main)\b", last(p))]
     named = named or [p for p, (m, _) in elements.items() if m > 0 and re.search(r"#main\b", last(p))]
-    if arts := [p for p in named if last(p).startswith("article")]:
-        named = arts
     if named:
         return [p for p in named if not any(p.startswith(q + "/") for q in named)]
     whole = max((m for m, _ in elements.values()), default=0)
     at = max((p for p, (m, once) in elements.items() if once and m == whole and m > 0), key=len, default="")
-    while at:
-        inner = [p for p, (m, once) in elements.items() if once and p.startswith(at + "/") and m >= MASS * whole]
-        if not inner:
-            return [at]
-        at = min(inner, key=len)
-    return []
+    return [at] if at else []
 
 
-def deduce(n_pages: int, tokens: list[dict]) -> str:
+def deduce(tokens: list[dict]) -> str:
     """The template of a host as JSON: its article slots and constant text.
 
     tokens: path, block (hash of a text block, or null), vector, pages, total, mass, place."""
@@ -216,7 +220,7 @@ def deduce(n_pages: int, tokens: list[dict]) -> str:
         classes[t["vector"]].append(t)
     valid = [m for m in classes.values() if any(t["block"] is None for t in m)]
     found = {t["path"]: (t["mass"], t["total"] == t["pages"]) for m in valid for t in m if t["block"] is None}
-    constant = [[t["path"], t["block"]] for m in valid for t in m if t["block"] is not None and n_pages >= 8]
+    constant = [[t["path"], t["block"]] for m in valid for t in m if t["block"] is not None]
     return json.dumps({"slots": article_slots(found), "constant": constant})
 
 
@@ -299,14 +303,14 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     common = (
         tokens.join(sizes, "host")
         .where((F.col("pages") >= 2) & (2 * F.col("pages") >= F.col("n_pages")))
-        .groupBy("host", "n_pages")
+        .groupBy("host")
         .agg(F.collect_list(F.struct("path", "block", F.xxhash64("vector").alias("vector"), "pages", "total", "mass", "place")).alias("tokens"))
     )
 
-    def build(n_pages: pa.Array, tokens: pa.Array) -> pa.Array:
-        return pa.array([deduce(n, t) for n, t in zip(n_pages.to_pylist(), tokens.to_pylist())], pa.string())
+    def build(tokens: pa.Array) -> pa.Array:
+        return pa.array([deduce(t) for t in tokens.to_pylist()], pa.string())
 
-    return settle(common.select("host", F.arrow_udf(build, "string")("n_pages", "tokens").alias("template")), "templates")
+    return settle(common.select("host", F.arrow_udf(build, "string")("tokens").alias("template")), "templates")
 
 
 def extract(

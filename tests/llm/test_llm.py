@@ -361,6 +361,18 @@ def test_html_drops_constant_text_in_the_article(spark):
     assert same[0].startswith("Head 0\nBody 0")
 
 
+def test_html_keeps_all_of_the_article(spark):
+    cards = "<html><body><main><h1>Head {0}</h1><p>Body {0}</p><article><p>Card {0}</p></article></main></body></html>"
+    entry = '<html><body><article><div class="entry-header"><h1>Head {0}</h1></div><p>Body {0}</p></article></body></html>'
+    parts = "<html><body><div class=top>Site</div><div id=a><p>" + "long {0} " * 20 + "</p></div><div id=b><p>short {0}</p></div></body></html>"
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page.format(i)) for k, page in enumerate((cards, entry, parts)) for i in range(3)]
+    texts = html_texts(spark, rows)
+    for i in range(3):
+        assert texts[i] == f"Head {i}\nBody {i}\nCard {i}"
+        assert texts[100 + i] == f"Head {i}\nBody {i}"
+        assert texts[200 + i] == (f"long {i} " * 20).strip() + f"\nshort {i}"
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
