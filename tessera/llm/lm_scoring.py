@@ -251,7 +251,7 @@ def score_texts(
 
     n, v = model.total, model.types
     rare = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ALPHA)) * F.col("tf")
-    cut = min(model.head.values()) if len(model.head) > head else 0
+    cut = min((n for w, n in model.head.items() if w != END), default=0) if len(model.head) > head else 0
     parts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), (~learns).alias("held"), F.col(text).alias("text"))
         .mapInArrow(local, ROW)

@@ -254,6 +254,18 @@ def test_lm_scoring(spark, corpus):
     assert lm_scoring.score_texts(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_lm_scoring_of_few_long_texts(spark):
+    text = "aa " * 50 + "bb " * 40 + "cc " * 30 + "dd"
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:3]
+    counts = {"aa": 150, "bb": 120, "cc": 90, "dd": 3, "": 3}
+    n, v = sum(counts.values()), len(counts)
+    base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in [*text.split(), ""])
+    got = lm_scoring.score_texts(docs_of(spark, [(i, text, "en", "s") for i in ids]), head=2, clustered=2, n_classes=2).collect()
+    assert len(got) == 3
+    for r in got:
+        assert r.n_known == r.n_tokens == 122 and abs(r.base_score - base) < 1e-6 * abs(base)
+
+
 def test_exchange_reaches_a_local_optimum():
     rng = np.random.default_rng(1)
     table = rng.poisson(rng.random((12, 1)) * rng.random((1, 12)) * 40 * (1 + (np.add.outer(np.arange(12) // 4, np.arange(12) // 4) % 3 == 0) * 5)).astype(float)
