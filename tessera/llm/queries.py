@@ -68,7 +68,7 @@ def op9_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sp_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model, k=2, with_ids=False).drop("ids")
+    return sp_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model, k=2)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -459,7 +459,14 @@ def sample_segmentations(
                         + (logp, value, inclusion)
                     )
             cols = list(zip(*out)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            arrays = [pa.array(c, t) for i, (c, t) in enumerate(zip(cols, types)) if i != 2]
+            if with_ids and out:  # one buffer of ids instead of an array a text
+                ends = np.cumsum([0, *map(len, cols[2])])
+                flat = pa.array(np.concatenate(cols[2]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            else:
+                lists = pa.array(cols[2], types[2])
+            return pa.RecordBatch.from_arrays([*arrays[:2], lists, *arrays[2:]], names=names)
 
         held, size = [], 0
         for batch in batches:

@@ -21,6 +21,7 @@ from tessera.llm import (
     near_dedup,
     packing,
     quality_rules,
+    queries,
     sharding,
     sp_sampling,
 )
@@ -309,6 +310,16 @@ def test_sampling(spark, corpus):
     assert got.where("sample = 0").count() == len(corpus)
 
 
+def test_sampling_query_returns_segmentations(spark):
+    d = "/root/testdata/sf0.001"
+    v = sp_sampling.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op9_sp_sampling(spark, d).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert len(r.ids) == r.n_pieces and v.decode(list(r.ids)) == texts[r.doc_id]
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
