@@ -1,25 +1,30 @@
 """Documents into training sequences, by tiers of context size.
 
 One pass tokenizes each text once and packs where it is read. A document goes to the
-shortest tier (512, 1024, 2048, 4096) that holds it, longer ones to the longest; each
-tier of a task is a stream cut at multiples of its window, so every sequence is full.
-What a task has left over (less than one window a tier) goes on with its ids: the
-leftovers of ``together`` tasks meet in one small group, where the shorter tiers'
-fill the gaps of long windows; one sequence a group is padded. Sequences of a task
-are dealt to step groups of equal token counts over all tiers.
+shortest tier (512, 1024, 2048, 4096) that holds it; a longer one fills long windows, and
+its rest goes to the tier that holds that. Each tier is packed with whole documents: the
+longest opens a window of its tier, and documents of shorter tiers fill its gap, whole ones
+as far as they fit (two that fill it exactly before the largest that fits); what is left of
+the gap takes a cut off one of them, so every window but a last one is full. What a task has
+left over (less than one window) goes on with its ids: the leftovers of ``together`` tasks
+meet in one small group, where one sequence is padded. Sequences are dealt to step groups by
+running totals over all tasks, so groups differ by at most one window.
 
 Defined results: null and empty text is the closing id alone; repeated rows are
-packed each; an empty table gives no rows; a document of any length is cut over as
-many sequences as it fills; further columns are ignored.
+packed each; a null doc_id is kept as it is; an empty table gives no rows; a document of any
+length is cut over as many sequences as it fills; the tokenizer's special tokens spelled out
+in a text become their ids, as it has it; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 import pyarrow as pa
@@ -44,13 +49,13 @@ PIECE = [
     ("sequence_id", pa.int64()),
     ("offset", pa.int64()),
     ("tier", pa.int32()),
-    ("step_group", pa.int64()),
+    ("before", pa.int64()),
     ("ids", pa.binary()),
 ]
 PIECES = pa.schema(PIECE)
 DDL = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-    "offset long, tier int, step_group long, ids binary"
+    "offset long, tier int, before long, ids binary"
 )
 
 
@@ -67,14 +72,16 @@ class Known(dict):
 class WordIds:
     """Word -> its ids as little-endian 32-bit bytes. The tokenizer drops white space,
     never looks across it and lower-cases, so words can be encoded one by one, with A-Z
-    in lower case. Of two generations of words, those used lately are kept."""
+    in lower case; a text that may spell a special token goes through it whole. Of two
+    generations of words, those used lately are kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = self.model.get_added_tokens_decoder().values()
+        self.special = re.compile(b"|".join(re.escape(t.content.encode().lower()) for t in added) or rb"(?!)")
         self.merges = self.model.model
         self.tails: dict[str, bytes] = {}
         self.now, self.old = Known(), Known()
@@ -127,16 +134,21 @@ class WordIds:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, each with the closing id."""
         end = array("I", [END_ID]).tobytes()
-        split = [(x or "").encode("utf-8", "replace").lower().split() for x in texts]
+        raw = [(x or "").encode("utf-8", "replace").lower() for x in texts]
+        whole = {i for i, x in enumerate(raw) if b"<|" in x and self.special.search(x)}
+        split = [[] if i in whole else x.split() for i, x in enumerate(raw)]
         self.now.missed = set()
         look = self.now.__getitem__
         looked = [list(map(look, words)) for words in split]
         self.learn(self.now.missed)
         now, old = self.now, self.old
-        return [
+        out = [
             b"".join([x or now.get(w) or old[w] for w, x in zip(words, found)]) + end
             for words, found in zip(split, looked)
         ]
+        for i in whole:
+            out[i] = array("I", self.model.encode(texts[i], add_special_tokens=False).ids).tobytes() + end
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -144,44 +156,111 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-class Streams:
-    """One stream of ids a tier; full windows leave as pieces."""
+#: A part of a document: doc_id, start, the document's tokens, ids (4 bytes each).
+Part = tuple[int | None, int, int, bytes]
+
 
-    def __init__(self, base: int, tiers: tuple[int, ...], group_tokens: int):
-        self.base, self.tiers, self.group_tokens = base, tiers, group_tokens
-        self.open: dict[int, list[tuple[int, int, int, bytes]]] = {t: [] for t in tiers}
-        self.fill = dict.fromkeys(tiers, 0)
-        self.made = self.tokens = 0
+class Packer:
+    """Parts of documents by length, packed into windows, the longest first."""
+
+    def __init__(self, base: int, tiers: tuple[int, ...]):
+        self.base, self.tiers = base, tiers
+        self.lengths: list[int] = []
+        self.of: dict[int, list[Part]] = {}
+        self.held = self.made = self.tokens = 0
         self.rows: list[tuple] = []
 
-    def add(self, tier: int, doc_id: int | None, total: int, start: int, ids: bytes) -> None:
-        """ids: 4 bytes each, the document's from start on."""
-        at = 0
-        while at < len(ids):
-            n = min(len(ids) // 4 - at // 4, tier - self.fill[tier])
-            self.open[tier].append((doc_id, start + at // 4, total, ids[at : at + 4 * n]))
-            self.fill[tier] += n
-            at += 4 * n
-            if self.fill[tier] == tier:
-                self.close(tier)
-
-    def close(self, tier: int) -> None:
+    def add(self, part: Part) -> None:
+        """Long parts leave as full windows of the longest tier; the rest waits."""
+        doc_id, start, total, ids = part
+        at, most = 0, 4 * self.tiers[-1]
+        while len(ids) - at >= most:
+            self._emit([(doc_id, start + at // 4, total, ids[at : at + most])], self.tiers[-1])
+            at += most
+        if at < len(ids):
+            self._put((doc_id, start + at // 4, total, ids[at:]))
+
+    def _put(self, part: Part) -> None:
+        n = len(part[3]) // 4
+        if n not in self.of:
+            self.of[n] = []
+            insort(self.lengths, n)
+        self.of[n].append(part)
+        self.held += n
+
+    def _take(self, n: int) -> Part:
+        parts = self.of[n]
+        part = parts.pop()
+        if not parts:
+            del self.of[n]
+            self.lengths.pop(bisect_left(self.lengths, n))
+        self.held -= n
+        return part
+
+    def _pair(self, gap: int) -> tuple[int, int] | None:
+        """Two lengths that fill the gap, if there are."""
+        lengths, of = self.lengths, self.of
+        i, j = 0, bisect_right(lengths, gap) - 1
+        while i <= j:
+            both = lengths[i] + lengths[j]
+            if both == gap and (i < j or len(of[lengths[i]]) > 1):
+                return lengths[i], lengths[j]
+            if both < gap:
+                i += 1
+            else:
+                j -= 1
+        return None
+
+    def _window(self, last: bool) -> bool:
+        """Packs one window; what cannot fill one waits, but for the last."""
+        first = self._take(self.lengths[-1])
+        inside, size = [first], len(first[3]) // 4
+        tier = next(t for t in self.tiers if size <= t)
+        gap = tier - size
+        while gap and self.lengths:
+            k = bisect_right(self.lengths, gap) - 1
+            if k >= 0 and self.lengths[k] == gap:
+                inside.append(self._take(gap))
+                gap = 0
+            elif k >= 0 and (pair := self._pair(gap)):
+                inside += map(self._take, pair)
+                gap = 0
+            elif k >= 0:
+                n = self.lengths[k]
+                inside.append(self._take(n))
+                gap -= n
+            else:  # all that is left is longer: cut the shortest
+                doc_id, start, total, ids = self._take(self.lengths[0])
+                inside.append((doc_id, start, total, ids[: 4 * gap]))
+                self._put((doc_id, start + gap, total, ids[4 * gap :]))
+                gap = 0
+        if gap and not last:
+            for part in inside:
+                self._put(part)
+            return False
+        self._emit(inside, tier)
+        return True
+
+    def _emit(self, inside: list[Part], tier: int) -> None:
         offset = 0
-        for doc_id, start, total, ids in self.open[tier]:
+        for doc_id, start, total, ids in inside:
             n = len(ids) // 4
-            self.rows.append(
-                (doc_id, start, n, zlib.crc32(ids), total, self.base + self.made, offset, tier)
-                + ((self.base >> 16) + self.tokens // self.group_tokens, None)
-            )
+            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.base + self.made, offset, tier, self.tokens, None))
             offset += n
-        self.open[tier], self.fill[tier] = [], 0
         self.made += 1
-        self.tokens += tier
+        self.tokens += offset if offset & (offset - 1) == 0 else self.tiers[-1]
+
+    def pack(self, leave: int = 0, last: bool = False) -> None:
+        """Packs until at most ``leave`` tokens wait."""
+        while self.held > leave and self._window(last):
+            pass
 
     def left(self) -> list[tuple]:
-        out = [(d, s, len(i) // 4, 0, total, -1, -1, t, -1, i) for t in self.tiers for d, s, total, i in self.open[t]]
-        self.open, self.fill = {t: [] for t in self.tiers}, dict.fromkeys(self.tiers, 0)
-        return out
+        return [
+            (doc_id, start, n, 0, total, self.base >> 32, -1, 0, 0, ids)
+            for n in self.lengths
+            for doc_id, start, total, ids in self.of[n]
+        ]
 
     def take(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows)) or [()] * len(PIECE)
@@ -189,42 +268,64 @@ class Streams:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, PIECE)], schema=PIECES)
 
 
+def step_groups(pieces: DataFrame, group_tokens: int) -> DataFrame:
+    """pieces with ``step_group`` for ``before``: groups of about group_tokens tokens by the
+    running total over all tasks' sequences. Only a total a task reaches the driver."""
+    task = F.shiftright("sequence_id", 32)
+    size = F.sum("length")
+    padded = F.when(size.bitwiseAND(size - 1) == 0, size).otherwise(F.lit(TIERS[-1]))
+    sequences = pieces.groupBy(task.alias("task"), "sequence_id", "before").agg(padded.alias("n"))
+    totals = sequences.groupBy("task").agg(F.max(F.col("before") + F.col("n")).alias("n")).orderBy("task").collect()
+    whole = sum(r.n for r in totals)
+    each = max(1, math.ceil(whole / max(1, round(whole / group_tokens))))
+    firsts, upto = [], 0
+    for r in totals:
+        firsts.append((r.task, upto))
+        upto += r.n
+    starts = pieces.sparkSession.createDataFrame(firsts, "task long, first long")
+    group = F.floor((F.col("first") + F.col("before")) / each).alias("step_group")
+    return pieces.withColumn("task", task).join(F.broadcast(starts), "task").select(*(c for c in pieces.columns if c != "before"), group)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
     tiers: tuple[int, ...] = TIERS,
     together: int = 64,
     group_tokens: int = 64 * 4096,
+    waiting: int = 1 << 19,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
+
+    A task packs whenever more than ``waiting`` tokens wait, and leaves half of them."""
 
     def first(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        words, streams = word_ids(tokenizer), Streams(part << 32, tiers, group_tokens)
+        words, packer = word_ids(tokenizer), Packer(TaskContext.get().partitionId() << 32, tiers)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 for doc_id, ids in zip(rows.column(0).to_pylist(), words.ids(rows.column(1).to_pylist())):
-                    total = len(ids) // 4
-                    streams.add(next((t for t in tiers if total <= t), tiers[-1]), doc_id, total, 0, ids)
-                if len(streams.rows) > 10_000:
-                    yield streams.take()
+                    packer.add((doc_id, 0, len(ids) // 4, ids))
+                if packer.held > waiting:
+                    packer.pack(waiting // 2)
+                if len(packer.rows) > 10_000:
+                    yield packer.take()
         words.forget()
-        streams.rows += [(*r[:5], part, -1, *r[7:]) for r in streams.left()]
-        yield streams.take()
+        packer.pack()
+        packer.rows += packer.left()
+        yield packer.take()
 
     def rest(rows: pd.DataFrame) -> pd.DataFrame:
-        base = (1 << 62) + (int(rows["g"].iloc[0]) << 32)
-        out = Streams(base, tiers[-1:], group_tokens)
-        for r in rows.sort_values(["tier", "sequence_id", "doc_id", "start"], ascending=[False, True, True, True]).itertuples():
-            out.add(tiers[-1], None if pd.isna(r.doc_id) else int(r.doc_id), int(r.doc_tokens), int(r.start), bytes(r.ids))
-        if out.fill[tiers[-1]]:
-            out.close(tiers[-1])
-        return out.take().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        packer = Packer((1 << 62) + (int(rows["g"].iloc[0]) << 32), tiers)
+        for r in rows.sort_values(["sequence_id", "doc_tokens", "doc_id", "start"]).itertuples():
+            packer.add((None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), int(r.doc_tokens), bytes(r.ids)))
+        packer.pack()
+        packer.pack(last=True)
+        return packer.take().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     pieces = settle(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(first, DDL), "pieces")
     ends = (
@@ -232,5 +333,7 @@ def pack(
         .withColumn("g", F.floor(F.col("sequence_id") / together))
         .groupBy("g")
         .applyInPandas(rest, DDL)
+        .drop("ids")
     )
-    return pieces.where(F.col("offset") >= 0).unionByName(ends).drop("ids")
+    whole = pieces.where(F.col("offset") >= 0).drop("ids").unionByName(settle(ends, "ends"))
+    return step_groups(whole, group_tokens)

@@ -1,6 +1,5 @@
 """Corpus operators against brute force, round trips and held-out accuracy."""
 
-import hashlib
 import math
 import random
 import re
@@ -325,25 +324,62 @@ def test_packing(spark, corpus):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    extra = [(200, "don't ÀÉ!! it's a1b x² ªº <|endoftext|> ﬁne ΣΑΣ é ­-- " * 50, "en", "s")]
-    rows = [r for r in corpus if r[0] not in (None, 146)] + extra
+    special = "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|> <|endoftext|"
+    extra = [(200, "don't ÀÉ!! it's a1b x² ªº <|endoftext|> ﬁne ΣΑΣ é ­-- " * 50, "en", "s"), (201, special, "en", "s"), (202, "<| x |>", "en", "s")]
+    rows = [*corpus, *extra, (203, "w " * 4095, "en", "s"), (204, "w " * 9000, "en", "s")]
     got = packing.pack(docs_of(spark, rows).repartition(3), path).toPandas()
+    want = Counter()
     for i, x, *_ in rows:
-        ids = np.array([*model.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
-        mine = got[got.doc_id == i].sort_values("start")
-        assert mine.start.tolist() == [0, *np.cumsum(mine.length)[:-1]] and mine.length.sum() == len(ids) == mine.doc_tokens.iloc[0]
+        want[i, tuple([*model.encode(x or "", add_special_tokens=False).ids, 2])] += 1
+    for i in {r[0] for r in rows}:
+        mine = got[got.doc_id.isna() if i is None else got.doc_id == i]
+        texts = [ids for (j, ids), c in want.items() for _ in range(c) if j == i]
+        spans = Counter((r.start, r.length) for r in mine.itertuples())
+        assert sum(n * c for (_, n), c in spans.items()) == sum(map(len, texts)) and set(mine.doc_tokens) == set(map(len, texts))
         for r in mine.itertuples():
-            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+            assert any(zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in texts)
+        if len(texts) == 1:
+            m = mine.sort_values("start")
+            assert m.start.tolist() == [0, *np.cumsum(m.length)[:-1]]
     pad = 0
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+        assert g.step_group.nunique() == g.tier.nunique() == 1
         n = int(g.length.sum())
         assert n <= 4096
         pad += 0 if n & (n - 1) == 0 else 4096 - n
     assert pad < 4096
-    assert packing.pack(spark.createDataFrame([], EMPTY), path).count() == 0
+    empty = packing.pack(spark.createDataFrame([], EMPTY), path)
+    assert empty.count() == 0
+
+
+def test_packing_ids_of_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, words = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for at in range(0, len(texts), 200):
+        want = model.encode_batch(texts[at : at + 200], add_special_tokens=False)
+        for mine, e in zip(words.ids(texts[at : at + 200]), want):
+            assert np.frombuffer(mine, "<u4").tolist() == [*e.ids, 2]
+
+
+def test_packing_keeps_documents_whole_and_groups_even(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(4)
+    rows = [(i, "w " * int(r.paretovariate(0.8) * 60 % 6000), "en", "s") for i in range(3000)]
+    got = packing.pack(docs_of(spark, rows).repartition(4), path, group_tokens=16 * 4096).toPandas()
+    for n, g in got.groupby("doc_id"):
+        assert g.length.sum() == len(rows[n][1].split()) + 1
+    short = got[got.doc_tokens <= 4096].groupby("doc_id").size()
+    assert (short > 1).mean() < 0.1
+    groups = got.groupby("step_group").length.sum()
+    assert groups.index.tolist() == list(range(len(groups))) and len(groups) > 5
+    assert groups.max() - groups.min() <= 3 * 4096
+    for tier, g in got.groupby("tier"):
+        assert g.groupby("sequence_id").length.sum().max() <= tier
 
 
 PAGE = (
@@ -411,7 +447,3 @@ def test_pipeline(spark, corpus, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
-
-
-def test_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
