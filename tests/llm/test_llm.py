@@ -1,5 +1,6 @@
 """Corpus operators against brute force, round trips and held-out accuracy."""
 
+import itertools
 import math
 import random
 import re
@@ -216,6 +217,22 @@ def test_near_dedup_dense_region_with_one_bridge(spark):
     assert sorted(small) == sorted(got)
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_dedup_finds_all_links_of_all_documents(spark, width):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {i: s for i, s in sets_of(rows, width).items() if s}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    both = Counter(p for ids in holders.values() for p in itertools.combinations(ids, 2))
+    near = [(a, b) for (a, b), c in both.items() if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c)]
+    want = components([i for i, _ in rows], near)
+    got = near_dedup.near_duplicates(docs, width=width).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
