@@ -1,18 +1,22 @@
 """Language by cross-parsing: how few phrases of a language's text spell a document.
 
-Per language, a bounded sample of labelled rows (``rows`` rows of up to ``chars``
-characters, chosen by the hash of doc_id) is joined to a reference text, and its
-suffix automaton tells for any text the longest match from a position. A document is
-cut greedily into such matches; phrases * log2(reference length) / length is the
-cross-parsing entropy, and the language with the least wins.
+Per language, ``rows`` passages of ``chars`` characters (fewer where many languages share
+``total`` characters) are joined to a reference text, and its suffix automaton tells for any
+text the longest match from a position. A passage lies anywhere in its document, at a place
+that the document's hash decides, and the passages are those of the documents with the least
+hashes, so the whole of all labelled texts is sampled alike; these bounds are on the fitting
+alone. A document is cut greedily into such matches; phrases * log2(reference length) /
+length is the cross-parsing entropy, and the language with the least wins.
 
 Texts are parsed whole, in lock step: lower-cased, runs of ASCII other than letters
-become one space, and the bytes are cut into segments of ``SEGMENT`` bytes, so that
-the automata of all languages advance over thousands of segments with one lookup each.
+become one space, and the bytes are cut into segments of ``SEGMENT`` bytes (a phrase ends
+there), so that the automata of all languages advance over thousands of segments with one
+lookup each. The automata's moves are one hash table: memory goes by the references' size.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; ties
 go to the first language in code-point order; with no labelled rows all is ``und``;
-repeated rows get equal answers; further columns are ignored.
+rows without lang, doc_id or text teach nothing; rows that repeat a doc_id may each give a
+passage; repeated rows get equal answers; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ CHUNK = 1 << 21
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 TO_SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 BREAK = b"\n"
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: str) -> bytes:
@@ -44,8 +49,8 @@ def has_letter(text: str, raw: bytes) -> bool:
     return bool(ASCII_LETTER.search(raw)) or any(c.isalpha() for c in text)
 
 
-def suffix_automaton(data: list[int], width: int) -> np.ndarray:
-    """Transitions [state, symbol] -> state; state 1 is the start, 0 means no match.
+def suffix_automaton(data: list[int]) -> list[dict[int, int]]:
+    """Per state its moves, symbol -> state; state 1 is the start.
 
     Symbol 0 stands between samples and is never matched."""
     go: list[dict[int, int]] = [{}, {}]
@@ -74,12 +79,42 @@ def suffix_automaton(data: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(go), width), np.int32)
-    for state, moves in enumerate(go):
-        for c, to in moves.items():
-            if c:
-                table[state, c] = to
-    return table
+    return go
+
+
+class Moves:
+    """state * 256 + symbol -> state, for arrays: a hash table with linear probing."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        self.bits = max(4, int(2.5 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.zeros(1 << self.bits, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = np.nonzero(self.keys[at[left]] < 0)[0]
+            slots, first = np.unique(at[left[free]], return_index=True)
+            chosen = left[free[first]]
+            self.keys[slots], self.to[slots] = keys[chosen], to[chosen]
+            left = np.setdiff1d(left, chosen, assume_unique=True)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The state each key moves to, or 0."""
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.to[at], 0)
+        open_ = np.nonzero((seen != keys) & (seen >= 0))[0]
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            seen, want = self.keys[at], keys[open_]
+            out[open_] = np.where(seen == want, self.to[at], 0)
+            on = (seen != want) & (seen >= 0)
+            open_, at = open_[on], at[on]
+        return out
 
 
 class CrossParser:
@@ -90,12 +125,19 @@ class CrossParser:
         self.symbol = np.zeros(256, np.uint8)
         used = sorted(set(b"".join(x for _, x in references)) - set(BREAK))
         self.symbol[used] = np.arange(1, len(used) + 1)
-        width = len(used) + 1
-        tables = [suffix_automaton(self.symbol[np.frombuffer(x, np.uint8)].tolist(), width) for _, x in references]
-        starts = np.cumsum([0] + [len(t) for t in tables])[:-1]
-        self.flat = np.concatenate([np.where(t > 0, t + s, 0) for t, s in zip(tables, starts)]).astype(np.int32).ravel()
-        self.root = (starts + 1).astype(np.int32)[:, None]
-        self.width = width
+        self.root = np.zeros((len(references), 1), np.int64)
+        self.from_root = np.zeros((len(references), 256), np.int32)
+        keys, to, start = [], [], 0
+        for k, (_, x) in enumerate(references):
+            go = suffix_automaton(self.symbol[np.frombuffer(x, np.uint8)].tolist())
+            self.root[k] = start + 1
+            for c, n in go[1].items():
+                self.from_root[k, c] = c and start + n
+            moves = [(((start + state) << 8) + c, start + n) for state, m in enumerate(go) for c, n in m.items() if c]
+            keys += [np.array([m[0] for m in moves], np.int64)]
+            to += [np.array([m[1] for m in moves], np.int32)]
+            start += len(go)
+        self.moves = Moves(np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*to, np.zeros(0, np.int32)]))
         self.weight = np.array([math.log2(len(x) + 2) for _, x in references])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -125,15 +167,14 @@ class CrossParser:
         alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         state = np.repeat(self.root, len(segments), 1)
         count = np.zeros(state.shape, np.int32)
-        root_moves = self.root * self.width
         for k in range(lengths[0]):
             n = alive[k]
-            c = grid[k, :n].astype(np.int32)
+            c = grid[k, :n].astype(np.int64)
             now = state[:, :n]
-            to = self.flat[now * self.width + c]
+            to = self.moves(((now << 8) + c).ravel()).reshape(now.shape)
             miss = to == 0
             count[:, :n] += miss | (now == self.root)
-            to = np.where(miss, self.flat[root_moves + c], to)
+            to = np.where(miss, self.from_root[:, c], to)
             state[:, :n] = np.where(to == 0, self.root, to)
         np.add.at(out, np.array([i for i, _ in segments]), count.T)
 
@@ -164,34 +205,30 @@ def learn(
     docs: DataFrame,
     rows: int = 48,
     chars: int = 512,
-    max_langs: int = 200,
+    total: int = 2_000_000,
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
 ) -> tuple[tuple[str, bytes], ...]:
     """Reference texts by language, of at most rows * chars characters each."""
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
-    order = F.xxhash64(F.col(key))
-    langs = [r[0] for r in known.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(max_langs).collect()]
-    if not langs:
-        return ()
-    firsts = (
-        known.where(F.col(lang).isin(langs))
-        .groupBy(F.col(lang).alias("l"), F.pmod(order, F.lit(rows)).alias("b"))
-        .agg(F.min_by(F.col(key), order).alias("i"))
-        .collect()
-    )
-    chosen = sorted({r.i for r in firsts})
+    known = known.select(F.col(lang).alias("l"), F.xxhash64(key).alias("o"), F.col(text).alias("t"))
+    n_langs = known.select("l").distinct().count()
+    each = max(1, min(rows, total // max(1, n_langs * chars)))
+    place = F.pmod(F.shiftright("o", 20), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int")
+    passages = known.select("l", "o", F.substring("t", place + 1, F.lit(chars)).alias("t"))
+    # One passage a bucket, the one with the least hash: no more reach the driver.
     found = (
-        known.where(F.col(key).isin(chosen))
-        .select(F.col(lang).alias("l"), F.col(key).alias("i"), F.substring(text, 1, chars).alias("t"))
+        passages.groupBy("l", F.pmod("o", F.lit(each)).alias("b"))
+        .agg(F.min(F.struct("o", "t")).alias("p"))
+        .select("l", "p.o", "p.t")
         .collect()
     )
     by: dict[str, list[bytes]] = {}
-    for r in sorted(found, key=lambda r: (r.l, r.i, r.t)):
-        if r.l in langs and len(by.setdefault(r.l, [])) < rows and (x := plain(r.t)):
-            by[r.l].append(x)
-    return tuple((k, BREAK.join(v)) for k, v in sorted(by.items()) if v)
+    for r in sorted(found, key=lambda r: (r.l, r.o, r.t)):
+        if x := plain(r.t):
+            by.setdefault(r.l, []).append(x)
+    return tuple((k, BREAK.join(v)) for k, v in sorted(by.items()))
 
 
 def predictor(references: tuple[tuple[str, bytes], ...]):
