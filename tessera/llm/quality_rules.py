@@ -2,9 +2,12 @@
 
 One pass over each text gives the counts and the base verdict. Failures are added
 up by host (combined before the shuffle); the hosts' rates give a beta prior by the
-method of moments, each host's rate is shrunk towards it, and a host above
-``max_rate`` takes all its documents down. The host table joins back by an ordinary
-join of narrow rows, which Spark turns into a broadcast only if it measured it small.
+method of moments, and each host's rate is shrunk towards it. A host takes all its
+documents down if its posterior leaves no doubt that most of its documents fail: if
+the shrunk rate less ``sure`` standard deviations of the posterior is above ``max_rate``.
+So a few failures condemn no small host, and a host that fails somewhat more often than
+others keeps its good documents. The host table joins back by an ordinary join of narrow
+rows, which Spark turns into a broadcast only if it measured it small.
 
 Defined results: null or empty text has no words and fails; a null host is a host
 of its own; repeated rows count each; fewer than two hosts leave the flat prior
@@ -79,19 +82,25 @@ def base_failed(min_words: int, max_repeat: int):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
 
 
-def host_verdicts(facts: DataFrame, max_rate: float) -> DataFrame:
+#: Host of rows without one.
+NO_HOST = "\x00none"
+
+
+def host_verdicts(facts: DataFrame, max_rate: float, sure: float) -> DataFrame:
     """host -> host_rate (shrunk), host_ok; facts has host and base_failed."""
     hosts = facts.groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
     a, b = beta_prior(hosts)
     rate = (F.col("failed") + a) / (F.col("n") + a + b)
-    return hosts.select("host", rate.alias("host_rate"), (rate <= max_rate).alias("host_ok"))
+    doubt = sure * F.sqrt(rate * (1 - rate) / (F.col("n") + a + b + 1))
+    return hosts.select("host", rate.alias("host_rate"), (rate - doubt <= max_rate).alias("host_ok"))
 
 
 def judge(
     docs: DataFrame,
     min_words: int = 50,
     max_repeat: int = 50,
-    max_rate: float = 0.8,
+    max_rate: float = 0.5,
+    sure: float = 1.645,
     key: str = "doc_id",
     text: str = "text",
     host: str = "source",
@@ -100,14 +109,14 @@ def judge(
     facts = settle(
         docs.select(
             F.col(key).alias("doc_id"),
-            F.coalesce(F.col(host), F.lit("\x00none")).alias("host"),
+            F.coalesce(F.col(host), F.lit(NO_HOST)).alias("host"),
             facts_of(F.col(text)).alias("f"),
         )
         .select("doc_id", "host", "f.*")
         .withColumn("base_failed", base_failed(min_words, max_repeat)),
         "facts",
     )
-    return facts.join(host_verdicts(facts, max_rate), "host").withColumn(
+    return facts.join(host_verdicts(facts, max_rate, sure), "host").withColumn(
         "kept", ~F.col("base_failed") & F.col("host_ok")
     )
 
@@ -120,18 +129,29 @@ def keep_good(
     docs: DataFrame,
     min_words: int = 50,
     max_repeat: int = 50,
-    max_rate: float = 0.8,
+    max_rate: float = 0.5,
+    sure: float = 1.645,
     key: str = "doc_id",
     text: str = "text",
     host: str = "source",
 ) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with their own columns. Only the hosts'
+    """The rows of docs that ``judge`` keeps, with their own columns. Texts are read and
+    judged once: rows that pass are written beside the verdicts of all. Only the hosts'
     table is joined, so texts are not shuffled."""
-    verdicts = judge(docs, min_words, max_repeat, max_rate, key, text, host).select("host", "host_ok")
-    bad = settle(verdicts.where(~F.col("host_ok")).select("host").distinct(), "bad_hosts")
+    own = F.when(~F.col("base_failed"), F.struct(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
+    judged = settle(
+        docs.select(
+            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+            F.coalesce(F.col(f"`{host}`"), F.lit(NO_HOST)).alias("host"),
+            facts_of(F.col(f"`{text}`")).alias("f"),
+        )
+        .select("row", "host", "f.*")
+        .withColumn("base_failed", base_failed(min_words, max_repeat))
+        .select("host", "base_failed", own.alias("row")),
+        "judged",
+    )
+    verdicts = host_verdicts(judged.select("host", "base_failed"), max_rate, sure)
+    bad = settle(verdicts.where(~F.col("host_ok")).select("host"), "bad_hosts")
     if bad.count() <= SENT_HOSTS:
         bad = F.broadcast(bad)
-    n_words, n_repeat = F.col("__tessera_facts.n_words"), F.col("__tessera_facts.n_repeat_words")
-    failed = (n_words < min_words) | (100 * n_repeat > max_repeat * n_words)
-    good = docs.withColumn("__tessera_facts", facts_of(F.col(text))).where(~failed).drop("__tessera_facts")
-    return good.join(bad, F.coalesce(docs[host], F.lit("\x00none")) == bad["host"], "left_anti")
+    return judged.where(~F.col("base_failed")).join(bad, "host", "left_anti").select("row.*")
