@@ -2,24 +2,29 @@
 
 Counts of all tokens are gathered from the whole training fold (combined in each
 task, then by a shuffle). The ``head`` most frequent words, a fixed number, travel
-to every task; of these the ``clustered`` most frequent are assigned to classes by
-exchange clustering over their bigram counts: each word moves to the class that
-raises the likelihood of the class bigrams most, until no word moves. Other words
-fall into four classes by their length, and the end of a text is a class of its own.
-A text's probability is the product of class transitions, counted over the whole
-training fold, and word emissions. Words beyond the head meet their counts in a
-join; none of them holds more than a share 1/head of all tokens, so none is hot.
+to every task and are all assigned to classes by exchange clustering over the counts of
+their bigrams: a round looks at each word in turn and moves it to the class that raises the
+likelihood of the class bigrams most. Bigrams stay a distributed table; a round gets from it
+what stands before and after each head word by class (head x classes counts, whatever the
+corpus), as of the round's start, as in distributed exchange clustering (Uszkoreit and
+Brants, 2008). Rounds end when one does not raise the likelihood, moves few words, or is the
+last of ``rounds``. Words beyond the head are four classes by their length, and the end of a
+text is a class of its own. A text's probability is the product of class transitions, counted
+over the whole training fold, and word emissions. Words beyond the head meet their counts in
+a join; none of them holds more than a share 1/head of all tokens, or it is longer than
+``LONGEST`` bytes, so a hot one is rare and Spark splits it.
 
 Defined results: null or empty text is the end token alone; rows without doc_id
 belong to the training fold; repeated rows are all returned; with no training rows
-all counts are 0; further columns are ignored.
+all counts are 0; words of any length count, those of more than LONGEST bytes never in the
+head; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,10 @@ ALPHA = 0.1
 LENGTH_BOUNDS = (4, 7, 11)
 N_LENGTHS = len(LENGTH_BOUNDS) + 1
 FLUSH = 300_000
+#: Bytes of the longest word that is sent to all tasks.
+LONGEST = 64
+#: Distinct bigrams that a task holds.
+PAIRS = 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -64,55 +73,79 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def exchange(counts: np.ndarray, frequency: np.ndarray, n_classes: int, rounds: int = 10) -> np.ndarray:
-    """Classes of the first len(frequency) symbols of a bigram count matrix.
-
-    The other symbols each stay a class of their own. Maximises
-    sum n(c,d) log n(c,d) - sum n(c) log n(c) - sum n(d) log n(d)."""
-    size, words = len(counts), len(frequency)
-    cls = np.concatenate([np.arange(words) % n_classes, n_classes + np.arange(size - words)])
-    k = n_classes + size - words
-    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
-    onehot = np.zeros((size, k))
-    onehot[np.arange(size), cls] = 1
-    table = onehot.T @ counts @ onehot
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, but for a constant: sum n(c,d) log n(c,d) - n(c) log n(c) - n(d) log n(d)."""
+    return float(xlogx(table).sum() - xlogx(table.sum(0)).sum() - xlogx(table.sum(1)).sum())
+
+
+#: What stands around words: counts before and after each head word, by class, and its count after itself.
+Contexts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def sweep(cls: np.ndarray, order: np.ndarray, contexts: Contexts, table: np.ndarray, n_classes: int) -> tuple[np.ndarray, int]:
+    """One round over the words: each goes where the likelihood is highest."""
+    before, after, twice = contexts
+    cls, table, moved = cls.copy(), table.copy(), 0
+    for w in order.tolist():
+        old, own = int(cls[w]), twice[w]
+        right, left = after[w].copy(), before[w].copy()
+        right[old] -= own
+        left[old] -= own
+        table[old, :] -= right
+        table[:, old] -= left
+        table[old, old] -= own
+        row, col = table.sum(1), table.sum(0)
+        r, c = right.sum() + own, left.sum() + own
+        now = xlogx(table)
+        gain = (xlogx(table[:n_classes] + right) - now[:n_classes]).sum(1)
+        gain += (xlogx(table[:, :n_classes].T + left) - now[:, :n_classes].T).sum(1)
+        k = np.arange(n_classes)
+        diag = table[k, k]
+        gain += xlogx(diag + right[k] + left[k] + own) - xlogx(diag + right[k]) - xlogx(diag + left[k]) + now[k, k]
+        gain -= xlogx(row[k] + r) - xlogx(row[k]) + xlogx(col[k] + c) - xlogx(col[k])
+        new = int(gain.argmax())
+        if gain[new] <= gain[old] + 1e-9:
+            new = old
+        cls[w] = new
+        table[new, :] += right
+        table[:, new] += left
+        table[new, new] += own
+        moved += new != old
+    return cls, moved
+
+
+def exchange(
+    look: Callable[[np.ndarray], tuple[Contexts, np.ndarray]], frequency: np.ndarray, n_classes: int, rounds: int, few: float = 0.005
+) -> np.ndarray:
+    """Classes of the head words. look: classes -> contexts and class bigrams, exact."""
+    cls = np.arange(len(frequency)) % n_classes
+    order = np.argsort(-frequency, kind="stable")
+    contexts, table = look(cls)
+    best = likelihood(table)
     for _ in range(rounds):
-        moved = 0
-        for w in np.argsort(-frequency, kind="stable"):
-            old = cls[w]
-            right = np.bincount(cls, weights=counts[w], minlength=k)
-            left = np.bincount(cls, weights=counts[:, w], minlength=k)
-            own = counts[w, w]
-            right[old] -= own
-            left[old] -= own
-            table[old, :] -= right
-            table[:, old] -= left
-            table[old, old] -= own
-            row, col = table.sum(1), table.sum(0)
-            r, c = right.sum() + own, left.sum() + own
-            gain = (xlogx(table + right) - xlogx(table)).sum(1) + (xlogx(table.T + left) - xlogx(table.T)).sum(1)
-            diag = np.diag(table)
-            gain += xlogx(diag + right + left + own) - xlogx(diag + right) - xlogx(diag + left) + xlogx(diag)
-            gain -= xlogx(row + r) - xlogx(row) + xlogx(col + c) - xlogx(col)
-            new = int(gain[:n_classes].argmax())
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            cls[w] = new
-            table[new, :] += right
-            table[:, new] += left
-            table[new, new] += own
-            moved += new != old
+        new, moved = sweep(cls, order, contexts, table, n_classes)
         if not moved:
             break
+        contexts, table = look(new)
+        if (now := likelihood(table)) <= best:
+            break
+        cls, best = new, now
+        if moved <= few * len(cls):
+            break
     return cls
 
 
 class ClassModel:
     """Everything that scoring needs of fixed size: head words, classes, transitions."""
 
-    def __init__(self, head: dict[bytes, int], symbol: dict[bytes, int], total: int, types: int):
-        self.head, self.symbol, self.total, self.types = head, symbol, total, types
-        self.n_symbols = len(symbol) + N_LENGTHS
+    def __init__(self, head: dict[bytes, int], ends: int, total: int, types: int):
+        self.head, self.ends, self.total, self.types = head, ends, total, types
+        self.symbol = {w: i for i, w in enumerate([*head, END])}
+        self.n_symbols = len(self.symbol) + N_LENGTHS
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Symbols of a text between two ends; other words by their length."""
@@ -120,36 +153,71 @@ class ClassModel:
         end = self.symbol[END]
         return [end, *(i if (i := get(w)) is not None else base + length_class(len(w)) for w in words), end]
 
-    def fit(self, bigrams: np.ndarray, n_classes: int, length_tokens: list[int], length_types: list[int]) -> None:
-        words = [w for w in self.symbol if w != END]
-        frequency = np.array([self.head[w] for w in words], float)
-        n_classes = max(1, min(n_classes, len(words)))
-        self.cls = exchange(bigrams, frequency, n_classes) if words else np.arange(self.n_symbols)
-        k = int(self.cls.max()) + 1
-        onehot = np.zeros((self.n_symbols, k))
-        onehot[np.arange(self.n_symbols), self.cls] = 1
-        table = onehot.T @ bigrams @ onehot
+    def classes(self, cls: np.ndarray, n_classes: int) -> np.ndarray:
+        """Class of each symbol: the head's, then one for the end and one for each length."""
+        return np.concatenate([cls, n_classes + np.arange(1 + N_LENGTHS)]).astype(np.int64)
+
+    def fit(self, cls: np.ndarray, table: np.ndarray, length_tokens: list[int], length_types: list[int]) -> None:
+        """cls: classes of all symbols; table: counts of class bigrams."""
+        k = len(table)
+        self.cls = cls
         self.logt = np.log10((table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * k))
-        in_class = np.bincount(self.cls[: len(words)], weights=frequency, minlength=k)
-        sizes = np.bincount(self.cls[: len(words)], minlength=k)
-        emit = np.zeros(self.n_symbols)
-        for i, w in enumerate(words):
-            c = self.cls[i]
-            emit[i] = math.log10((self.head[w] + ALPHA) / (in_class[c] + ALPHA * sizes[c]))
+        words = len(self.head)
+        frequency = np.fromiter(self.head.values(), float, words)
+        in_class = np.bincount(cls[:words], weights=frequency, minlength=k)
+        sizes = np.bincount(cls[:words], minlength=k)
+        self.emit = np.zeros(self.n_symbols)
+        self.emit[:words] = np.log10((frequency + ALPHA) / (in_class + ALPHA * sizes)[cls[:words]])
         for r in range(N_LENGTHS):  # without log10(count + ALPHA), which each word adds
-            emit[len(self.symbol) + r] = -math.log10(length_tokens[r] + ALPHA * (length_types[r] + 1))
-        self.emit = emit
+            self.emit[words + 1 + r] = -math.log10(length_tokens[r] + ALPHA * (length_types[r] + 1))
+
+
+def bigrams(train: DataFrame, model: ClassModel) -> DataFrame:
+    """(text) -> (a, b, n): bigrams of symbols, combined in each task and then by a shuffle."""
+    sent = train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        n = m.n_symbols
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pending: list[np.ndarray] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            fresh, c = np.unique(np.concatenate(pending), return_counts=True)
+            both, where = np.unique(np.concatenate([codes, fresh]), return_inverse=True)
+            return both, np.bincount(where, weights=np.concatenate([counts, c]), minlength=len(both)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array((codes // n).astype(np.int32)), pa.array((codes % n).astype(np.int32)), pa.array(counts)]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "n"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                ids = np.array(m.ids(tokens(x.as_py())), np.int64)
+                pending.append(ids[:-1] * n + ids[1:])
+                size += len(ids)
+                if size > 1 << 21:
+                    codes, counts = merged()
+                    pending, size = [], 0
+                    if len(codes) > PAIRS:
+                        yield out()
+                        codes, counts = codes[:0], counts[:0]
+        if pending:
+            codes, counts = merged()
+        yield out()
+
+    return train.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def learn(
-    train: DataFrame, head: int, clustered: int, n_classes: int
-) -> tuple[ClassModel, DataFrame]:
+def learn(train: DataFrame, head: int, n_classes: int, rounds: int) -> tuple[ClassModel, DataFrame]:
     """The model, and the table of all counts (word, n)."""
+    spark = train.sparkSession
     counts = settle(
         train.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
     )
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(head).collect()
     size = F.octet_length("word")
+    top = counts.where((size > 0) & (size <= LONGEST)).orderBy(F.desc("n"), "word").limit(head).collect()
     band = sum(((size >= b).cast("int") for b in LENGTH_BOUNDS), F.lit(0))
     bands = {
         r.b: (r.t, r.v)
@@ -157,37 +225,37 @@ def learn(
     }
     ends = counts.where(size == 0).agg(F.sum("n")).first()[0] or 0
     lookup = {bytes(r.word): r.n for r in top}
-    chosen = list(lookup)[:clustered]
-    symbol = {w: i for i, w in enumerate([*chosen, END])}
     tok, typ = [bands.get(r, (0, 0))[0] for r in range(N_LENGTHS)], [bands.get(r, (0, 0))[1] for r in range(N_LENGTHS)]
-    model = ClassModel(lookup | {END: ends}, symbol, sum(tok) + ends, sum(typ) + (ends > 0))
-    for w in chosen:
-        tok[length_class(len(w))] -= lookup[w]
+    model = ClassModel(lookup, ends, sum(tok) + ends, sum(typ) + (ends > 0))
+    for w, n in lookup.items():
+        tok[length_class(len(w))] -= n
         typ[length_class(len(w))] -= 1
-    sent = train.sparkSession.sparkContext.broadcast(model)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        n, pending, size = m.n_symbols, [], 0
-        table = np.zeros(n * n, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                ids = np.array(m.ids(tokens(x.as_py())), np.int64)
-                pending.append(ids[:-1] * n + ids[1:])
-                size += len(ids)
-                if size > 1 << 20:
-                    table += np.bincount(np.concatenate(pending), minlength=n * n)
-                    pending, size = [], 0
-        if pending:
-            table += np.bincount(np.concatenate(pending), minlength=n * n)
-        at = np.nonzero(table)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
-
-    # At most (clustered + 5)**2 cells, whatever the input.
-    pairs = train.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    bigrams = np.zeros(model.n_symbols**2)
-    bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(float)
-    model.fit(bigrams.reshape(model.n_symbols, -1), n_classes, tok, typ)
+    pairs = settle(bigrams(train, model), "bigrams")
+    words = len(lookup)
+    n_classes = max(1, min(n_classes, words))
+    width = n_classes + 1 + N_LENGTHS
+    twice = np.zeros(words)
+    for r in pairs.where((F.col("a") == F.col("b")) & (F.col("a") < words)).select("a", "n").toPandas().itertuples():
+        twice[r.a] = r.n
+
+    def look(cls: np.ndarray) -> tuple[Contexts, np.ndarray]:
+        """At most 2 * (head + 5) * (n_classes + 5) counts, whatever the input."""
+        own = model.classes(cls, n_classes)
+        names = spark.createDataFrame(pa.table({"s": pa.array(np.arange(len(own), dtype=np.int32)), "c": pa.array(own.astype(np.int32))}))
+        sides = []
+        for at, of in (("a", "b"), ("b", "a")):
+            seen = pairs.join(F.broadcast(names), pairs[of] == names["s"]).groupBy(at, "c").agg(F.sum("n").alias("n")).toPandas()
+            x = np.zeros((model.n_symbols, width))
+            x[seen[at].to_numpy(np.int64), seen["c"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
+            sides.append(x)
+        after, before = sides
+        table = np.zeros((width, width))
+        np.add.at(table, own, after)
+        return (before[:words], after[:words], twice), table
+
+    frequency = np.fromiter(lookup.values(), float, words)
+    cls = exchange(look, frequency, n_classes, rounds) if words else np.zeros(0, np.int64)
+    model.fit(model.classes(cls, n_classes), look(cls)[1], tok, typ)
     return model, counts
 
 
@@ -201,8 +269,8 @@ NAMES = [x.split()[0] for x in ROW.split(", ")]
 def score_texts(
     docs: DataFrame,
     head: int = 50_000,
-    clustered: int = 1_000,
     n_classes: int = 32,
+    rounds: int = 5,
     modulus: int = 10,
     held_out: int = 0,
     key: str = "doc_id",
@@ -210,7 +278,7 @@ def score_texts(
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     learns = learns_from(F.col(key), modulus, held_out)
-    model, counts = learn(docs.where(learns).select(F.col(text).alias("text")), head, clustered, n_classes)
+    model, counts = learn(docs.where(learns).select(F.col(text).alias("text")), head, n_classes, rounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +286,7 @@ def score_texts(
         (with a blank, so that it meets no count), and a row per other word."""
         m = sent.value
         logs = {w: math.log10(n + ALPHA) for w, n in m.head.items()}
-        n_words = len(m.symbol)
-        end_known, end_log = int(m.head[END] > 0), math.log10(m.head[END] + ALPHA)
+        end_known, end_log = int(m.ends > 0), math.log10(m.ends + ALPHA)
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -242,8 +309,6 @@ def score_texts(
                     else:
                         base += c * v
                         known += c
-                        if w not in m.symbol:
-                            score += c * v
                 rows.append((doc_id, th, held, b" %d %d" % (doc_id or 0, th), 0, 1, len(words) + 1, known, base, score))
                 if len(rows) > FLUSH // 3:
                     yield out()
@@ -251,11 +316,12 @@ def score_texts(
 
     n, v = model.total, model.types
     rare = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ALPHA)) * F.col("tf")
-    cut = min((n for w, n in model.head.items() if w != END), default=0) if len(model.head) > head else 0
+    cut = min(model.head.values(), default=0) if len(model.head) >= head else 0
+    beyond = counts.where((F.col("n") <= cut) | (F.octet_length("word") > LONGEST))
     parts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), (~learns).alias("held"), F.col(text).alias("text"))
         .mapInArrow(local, ROW)
-        .join(counts.where(F.col("n") <= cut) if cut else counts, "word", "left")
+        .join(beyond, "word", "left")
         .groupBy("doc_id", "text_hash", "held_out")
         .agg(
             F.sum("copies").alias("copies"),

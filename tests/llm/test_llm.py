@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -69,6 +70,39 @@ def test_sharding(spark, corpus):
     assert sharding.shard_rows(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_sharding_of_a_key_that_most_rows_have(spark):
+    rows = docs_of(spark, [(7 if i % 3 else None if i % 2 else i, f"t{i % 50}", "en", "s") for i in range(6000)])
+    got = sharding.shard_rows(rows.repartition(6), n_shards=7).collect()
+    assert len(got) == 6000
+    for s in range(7):
+        mine = sorted(r.slot for r in got if r.shard == s)
+        assert mine == list(range(len(mine))) and 857 <= len(mine) <= 858
+
+
+def test_sharding_places_as_a_walk_round_the_ring_does():
+    rng = random.Random(2)
+    counts = Counter(int(rng.paretovariate(0.3) * 50) % (1 << 16) for _ in range(3000))
+    ring = sharding.virtual_nodes(5, 8)
+    room = sharding.bounds(3000, 5, 0.1)
+    want, waiting = {}, []
+    for cell in sorted(counts):
+        own = next((s for c, s in ring if c >= cell), ring[0][1])
+        for rank in range(counts[cell]):
+            if room[own]:
+                room[own] -= 1
+                want[cell, rank] = own
+            else:
+                waiting.append((cell, rank))
+    for cell, rank in waiting:
+        after = [s for c, s in ring if c >= cell] + [s for c, s in ring if c < cell]
+        want[cell, rank] = next(s for s in after if room[s])
+        room[want[cell, rank]] -= 1
+    got = {}
+    for cell, lo, hi, shard, _ in sharding.place(counts, 5, 8, 0.1):
+        got.update({(cell, k): shard for k in range(lo, hi)})
+    assert got == want
+
+
 def test_sharding_moves_little():
     rng = random.Random(1)
     counts = Counter(rng.randrange(1 << 16) for _ in range(40_000))
@@ -100,6 +134,41 @@ def test_line_dedup(spark, corpus):
         assert by[i].row.row == "c"
 
 
+def test_line_dedup_of_long_documents_and_common_lines(spark):
+    long = "\n".join(f"line number {i % 20000}" for i in range(32_000))
+    rows = [(0, long, "en", "s"), (1, long, "en", "s"), *((i, f"a line that all have\nown line of {i}", "en", "s") for i in range(2, 300))]
+    line_dedup.dedup_lines(docs_of(spark, rows)).count()
+    t = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, rows), hot=50).collect()}
+    assert time.time() - t < 20
+    assert got[0].n_dropped == 0 and got[1].n_dropped == 32_000 and got[1].kept_text == ""
+    assert got[2].n_dropped == 0 and all(got[i].kept_text == f"own line of {i}" for i in range(3, 300))
+    parted = line_dedup.SENT_BYTES, line_dedup.SENT_HASHES
+    line_dedup.SENT_BYTES, line_dedup.SENT_HASHES = -1, -1
+    try:
+        again = line_dedup.dedup_lines(docs_of(spark, rows), hot=50).collect()
+    finally:
+        line_dedup.SENT_BYTES, line_dedup.SENT_HASHES = parted
+    assert {r.doc_id: r for r in again} == got
+
+
+def test_quality_of_hosts(spark):
+    r = random.Random(3)
+    rates = {f"h{k}": q for k, q in enumerate((0.05, 0.1, 0.2, 0.1, 0.15, 0.95, 0.6, 1.0, *[0.1] * 20))}
+    size = dict.fromkeys(rates, 60) | {"h7": 2}
+    facts = [(h, r.random() < q) for h, q in rates.items() for _ in range(size[h])]
+    got = {x.host: x for x in quality_rules.host_verdicts(spark.createDataFrame(facts, "host string, base_failed boolean"), 0.5, 1.645).collect()}
+    failed, n = Counter(h for h, bad in facts if bad), Counter(h for h, _ in facts)
+    each = [failed[h] / n[h] for h in rates]
+    m, v = sum(each) / len(each), np.var(each, ddof=1)
+    a, b = m * (m * (1 - m) / v - 1), (1 - m) * (m * (1 - m) / v - 1)
+    for h in rates:
+        mean = (failed[h] + a) / (n[h] + a + b)
+        low = mean - 1.645 * math.sqrt(mean * (1 - mean) / (n[h] + a + b + 1))
+        assert abs(got[h].host_rate - mean) < 1e-9 and got[h].host_ok == (low <= 0.5)
+    assert not got["h5"].host_ok and got["h7"].host_ok and got["h2"].host_ok
+
+
 def test_quality(spark, corpus):
     def brute(x):
         ws = WORD.findall(x or "")
@@ -253,22 +322,61 @@ def test_embeddings(spark):
     assert embed_join.link_vectors(df.limit(0)).count() == 0
 
 
+def brute_class_model(train, model, n_classes):
+    """Score of a text's tokens under the class bigrams of model.cls, counted anew."""
+    cls = {w: int(model.cls[i]) for w, i in model.symbol.items()}
+    of = lambda w: cls[w] if w in cls else n_classes + 1 + lm_scoring.length_class(len(w))
+    counts = Counter(w for x in train for w in words(x))
+    pairs, firsts = Counter(), Counter()
+    for x in train:
+        t = [b"", *words(x), b""]
+        for u, v in zip(t, t[1:]):
+            pairs[of(u), of(v)] += 1
+            firsts[of(u)] += 1
+    k = n_classes + 1 + lm_scoring.N_LENGTHS
+    tail = lambda c: [w for w in counts if w not in cls and of(w) == c]
+
+    def emit(w):
+        c = of(w)
+        if w in cls:
+            mine = [counts[v] for v in cls if v and cls[v] == c]
+            return math.log10((counts[w] + 0.1) / (sum(mine) + 0.1 * len(mine)))
+        own = tail(c)
+        return math.log10((counts[w] + 0.1) / (sum(counts[v] for v in own) + 0.1 * (len(own) + 1)))
+
+    def score(x):
+        t = [b"", *words(x), b""]
+        return sum(math.log10((pairs[of(u), of(v)] + 0.1) / (firsts[of(u)] + 0.1 * k)) for u, v in zip(t, t[1:])) + sum(map(emit, t[1:-1]))
+
+    return score, emit, cls
+
+
 def test_lm_scoring(spark, corpus):
-    train = [x for i, x, *_ in corpus if i is None or zlib.crc32(str(i).encode()) % 10]
+    rows = [*corpus, (150, "x" * 5000 + " one " + "x" * 5000, "en", "s")]
+    train = [x for i, x, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 10]
     counts = Counter(w for x in train for w in words(x))
     counts[b""] = len(train)
     n, v = sum(counts.values()), len(counts)
     for head in (50_000, 40):
-        got = lm_scoring.score_texts(docs_of(spark, corpus), head=head, clustered=30, n_classes=4).collect()
-        assert len(got) == len(corpus)
+        df = docs_of(spark, rows)
+        got = lm_scoring.score_texts(df, head=head, n_classes=4).collect()
+        assert len(got) == len(rows)
+        learnt = df.where("doc_id IS NULL OR crc32(string(doc_id)) % 10 <> 0").select("text")
+        model, _ = lm_scoring.learn(learnt, head, 4, 5)
+        assert set(model.cls[: len(model.head)]) <= set(range(4)) and len(model.head) == min(head, sum(0 < len(w) <= 64 for w in counts))
+        score, emit, cls = brute_class_model(train, model, 4)
+        for c in range(4):
+            assert abs(sum(10 ** emit(w) for w in model.head if cls[w] == c) - 1) < 1e-9
         by = {r.doc_id: r for r in got}
-        for i, x, *_ in corpus:
+        for i, x, *_ in rows:
             toks = [*words(x), b""]
             base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in toks)
             r = by[i]
             assert r.n_tokens == len(toks) and r.n_known == sum(counts[t] > 0 for t in toks) and r.train_tokens == n
-            assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+            assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - score(x)) < 1e-6 * abs(r.score)
     assert lm_scoring.score_texts(spark.createDataFrame([], EMPTY)).count() == 0
+    untrained = docs_of(spark, [(i, "a b", "en", "s") for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0])
+    assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 for r in lm_scoring.score_texts(untrained).collect())
 
 
 def test_lm_scoring_of_few_long_texts(spark):
@@ -277,32 +385,31 @@ def test_lm_scoring_of_few_long_texts(spark):
     counts = {"aa": 150, "bb": 120, "cc": 90, "dd": 3, "": 3}
     n, v = sum(counts.values()), len(counts)
     base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in [*text.split(), ""])
-    got = lm_scoring.score_texts(docs_of(spark, [(i, text, "en", "s") for i in ids]), head=2, clustered=2, n_classes=2).collect()
+    got = lm_scoring.score_texts(docs_of(spark, [(i, text, "en", "s") for i in ids]), head=2, n_classes=2).collect()
     assert len(got) == 3
     for r in got:
         assert r.n_known == r.n_tokens == 122 and abs(r.base_score - base) < 1e-6 * abs(base)
 
 
-def test_exchange_reaches_a_local_optimum():
+def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(1)
-    table = rng.poisson(rng.random((12, 1)) * rng.random((1, 12)) * 40 * (1 + (np.add.outer(np.arange(12) // 4, np.arange(12) // 4) % 3 == 0) * 5)).astype(float)
-
-    def likelihood(cls):
-        k = max(cls) + 1
-        one = np.eye(k)[cls]
-        t = one.T @ table @ one
-        f = lambda x: float(np.where(x > 0, x * np.log(np.maximum(x, 1)), 0).sum())
-        return f(t) - f(t.sum(0)) - f(t.sum(1))
-
-    cls = lm_scoring.exchange(table, table.sum(1)[:10], 3, rounds=50)
-    assert list(cls[10:]) == [3, 4]
-    best = likelihood(cls)
-    assert best > likelihood(np.concatenate([np.arange(10) % 3, [3, 4]])) + 1
-    for w in range(10):
-        for c in range(3):
-            other = cls.copy()
-            other[w] = c
-            assert likelihood(other) <= best + 1e-6
+    kind = np.arange(40) % 4
+    table = rng.poisson(np.where((kind[:, None] + 1) % 4 == kind[None, :], 30, 1) * rng.random((40, 1)) * 3).astype(float)
+    frequency = table.sum(1)
+    seen = []
+
+    def look(cls):
+        one = np.eye(4)[cls]
+        classes = one.T @ table @ one
+        seen.append(lm_scoring.likelihood(classes))
+        return (table.T @ one, table @ one, np.diag(table)), classes
+
+    start = rng.permutation(40)
+    back = np.argsort(start)
+    table, frequency, kind = table[start][:, start], frequency[start], kind[start]
+    cls = lm_scoring.exchange(look, frequency, 4, rounds=20, few=0)
+    assert len({(int(k), int(c)) for k, c in zip(kind, cls)}) == 4 and len(back) == 40
+    assert max(seen) > seen[0] + 1
 
 
 def test_sampling(spark, corpus):
