@@ -113,6 +113,9 @@ class Vocabulary:
                     if k == len(p) - 1:
                         known[int(h)] = i
         self.longest = max(map(len, texts))
+        self.n_bytes = np.fromiter(map(len, self.bytes_of), np.int64, self.n)
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         # A slot holds one prefix; the few that find their slot taken are looked up by order.
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
         self.crowded = np.zeros(1 << SLOT_BITS, bool)
@@ -137,6 +140,15 @@ class Vocabulary:
             at[again] = np.where(self.hashes[k] == h[again], k, -1)
         return at
 
+    def spelled(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Bytes that each of several segmentations spells; ends: where each one's ids begin and end."""
+        n = self.n_bytes[ids]
+        upto = np.cumsum(n)
+        at = np.arange(n.sum()) + np.repeat(self.first_byte[ids] - upto + n, n)
+        raw = self.all_bytes[at].tobytes()
+        cut = np.concatenate(([0], upto))[ends].tolist()
+        return [raw[x + (raw[x : x + 1] == b" " and x < y) : y] for x, y in zip(cut, cut[1:])]
+
     def decode(self, ids) -> str:
         """Text of a segmentation of a whole text: without the blank put before it."""
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -431,18 +443,16 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 DDL = (
-    "doc_id long, sample int, ids array<int>, n_pieces long, ids_crc32 long, decoded_crc32 long, "
+    "doc_id long, sample int, ids binary, n_pieces long, ids_crc32 long, decoded_crc32 long, "
     "log_prob double, perturbed double, inclusion double"
 )
 
 
-def sample_segmentations(
-    docs: DataFrame, model: str, k: int = 2, with_ids: bool = True, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Per row of docs up to k rows: doc_id, sample, ids (null unless with_ids), n_pieces,
-    ids_crc32 (little-endian 32-bit ids), decoded_crc32 (UTF-8 of the text they spell),
+def sample_segmentations(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs up to k rows: doc_id, sample, ids (little-endian 32-bit ids, one after
+    another), n_pieces, ids_crc32 (of ids), decoded_crc32 (UTF-8 of the text they spell),
     log_prob, perturbed, inclusion."""
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in DDL.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,23 +460,18 @@ def sample_segmentations(
 
         def emit(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
             keys = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-            out = []
-            for (doc_id, _, _), samples in zip(rows, sample_texts(vocab, [r[2] for r in rows], keys, k)):
-                for s, (ids, logp, value, inclusion) in enumerate(samples):
-                    spelled = vocab.decode(ids.tolist()).encode()
-                    out.append(
-                        (doc_id, s, ids if with_ids else None, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(spelled))
-                        + (logp, value, inclusion)
-                    )
-            cols = list(zip(*out)) or [()] * len(names)
-            arrays = [pa.array(c, t) for i, (c, t) in enumerate(zip(cols, types)) if i != 2]
-            if with_ids and out:  # one buffer of ids instead of an array a text
-                ends = np.cumsum([0, *map(len, cols[2])])
-                flat = pa.array(np.concatenate(cols[2]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            else:
-                lists = pa.array(cols[2], types[2])
-            return pa.RecordBatch.from_arrays([*arrays[:2], lists, *arrays[2:]], names=names)
+            found = sample_texts(vocab, [r[2] for r in rows], keys, k)
+            flat = [(r[0], s, *x) for r, samples in zip(rows, found) for s, x in enumerate(samples)]
+            each = [x[2] for x in flat]
+            ends = np.cumsum([0, *map(len, each)])
+            ids = np.concatenate([*each, np.zeros(0, np.int64)])
+            raw = ids.astype("<u4").tobytes()
+            at = (4 * ends).tolist()
+            own = [raw[x:y] for x, y in zip(at, at[1:])]
+            cols = list(zip(*((x[0], x[1], *x[3:]) for x in flat))) or [()] * 5
+            texts = list(map(zlib.crc32, vocab.spelled(ids, ends)))
+            data = [cols[0], cols[1], own, np.diff(ends), list(map(zlib.crc32, own)), texts, *cols[2:]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types)], names=names)
 
         held, size = [], 0
         for batch in batches:

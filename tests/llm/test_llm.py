@@ -440,7 +440,9 @@ def test_sampling_query_returns_segmentations(spark):
     got = queries.op9_sp_sampling(spark, d).collect()
     assert {r.doc_id for r in got} == set(texts)
     for r in got:
-        assert len(r.ids) == r.n_pieces and v.decode(list(r.ids)) == texts[r.doc_id]
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.n_pieces and v.decode(ids) == texts[r.doc_id]
+        assert r.ids_crc32 == zlib.crc32(r.ids) and r.decoded_crc32 == zlib.crc32(texts[r.doc_id].replace("▁", " ").encode())
 
 
 def test_packing(spark, corpus):
