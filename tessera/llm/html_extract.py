@@ -14,8 +14,11 @@ the nesting of the classes; all else in it is extracted. A page that lacks its h
 article slot is its own template; a page with constant text alone keeps it.
 
 Defined results: null or empty html gives an empty text; pages without a url form a
-host of their own; repeated rows count each; a tag or comment that never closes is
-read to the end of the page; further columns are ignored.
+host of their own; repeated rows count each; a comment that never closes is read to the end
+of the page; where no > follows, the rest is text; a tag whose quotes never close ends at
+its first >, and so do those after it; elements are told apart by their outermost ``DEEPEST``
+ancestors, and by a checksum of names above ``LONGEST_NAME`` characters; further columns are
+ignored. Pages are read in one forward scan.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ from pyspark.sql.column import Column
 
 from .common import settle
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL
-)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile("[\"'>]")
+DEEPEST = 256
+LONGEST_NAME = 200
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
@@ -92,33 +96,53 @@ class Page:
         self.blocks: list[tuple[str, bool, str]] = []
         self._stack: list[tuple[str, str, bool]] = [("", "", False)]
         self._text: list[str] = []
-        at, end = 0, len(html)
+        self._open_tags: Counter[str] = Counter()
+        at, end, last = 0, len(html), html.rfind(">")
+        quoted = True
         while at < end:
-            m = TAG.search(html, at)
-            if not m:
+            lt = html.find("<", at)
+            if lt < 0 or lt > last and not html.startswith("<!--", lt):
                 self._text.append(html[at:])
                 break
-            if m.start() > at:
-                self._text.append(html[at : m.start()])
-            at = m.end()
-            if not m[2]:
+            if lt > at:
+                self._text.append(html[at:lt])
+            if html.startswith("<!--", lt):
+                close = html.find("-->", lt + 4)
+                at = close + 3 if close >= 0 else end
+                continue
+            if html[lt + 1] in "!?":
+                at = html.find(">", lt) + 1
                 continue
+            m = TAG_NAME.match(html, lt + 1)
+            if not m:
+                self._text.append("<")
+                at = lt + 1
+                continue
+            stop = self._tag_end(html, m.end()) if quoted else html.find(">", m.end())
+            if stop < 0:
+                quoted, stop = False, html.find(">", m.end())
+            at = stop + 1
             tag = m[2].lower()
             if m[1]:
                 self._close(tag)
                 continue
-            self._open(tag, m[3])
+            self._open(tag, html[m.end() : stop])
             if tag in RAW:
                 close = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
-                stop = close.start() if close else end
                 self._pop(len(self._stack) - 1)
-                at = stop if close else end
-                if close and (gt := html.find(">", stop)) >= 0:
-                    at = gt + 1
-                elif close:
-                    at = end
+                at = end if not close or close.start() > last else html.find(">", close.start()) + 1
         self._flush()
 
+    @staticmethod
+    def _tag_end(html: str, at: int) -> int:
+        """The > that closes a tag, not one in quotes; -1 if there is none."""
+        while m := QUOTE_OR_END.search(html, at):
+            if m[0] == ">":
+                return m.start()
+            if (at := html.find(m[0], m.end()) + 1) == 0:
+                return -1
+        return -1
+
     def _flush(self) -> None:
         if self._text:
             text = " ".join(unescape("".join(self._text)).split())
@@ -130,6 +154,7 @@ class Page:
     def _pop(self, to: int) -> None:
         if to < len(self._stack):
             self._flush()
+            self._open_tags.subtract(x[0] for x in self._stack[to:])
             del self._stack[to:]
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -166,17 +191,21 @@ class Page:
             return
         _, path, out = self._stack[-1]
         inside = bool(INSIDE.search(path))
-        path = f"{path}/{label}"
+        if len(label) > LONGEST_NAME:
+            label = f"{tag}.{crc32(label.encode('utf-8', 'replace'))}"
+        if len(self._stack) <= DEEPEST:
+            path = f"{path}/{label}"
         seen = self.elements.setdefault(path, [0, len(self.elements)])
         seen[0] += 1
         out = out or chrome(tag, marks, names, inside)
         self._stack.append((tag, path, out))
+        self._open_tags[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag == "br":
             self._text.append(" ")
             return
-        for k in range(len(self._stack) - 1, 0, -1):
+        for k in range(len(self._stack) - 1, 0, -1) if self._open_tags[tag] > 0 else ():
             if self._stack[k][0] == tag:
                 self._pop(k)
                 return

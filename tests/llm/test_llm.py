@@ -313,7 +313,7 @@ def test_embeddings(spark):
     v /= np.linalg.norm(v, axis=1)[:, None]
     near = v @ v.T >= 0.95
     want = components(range(len(v)), [(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if near[a, b]])
-    for block, pivots in ((2048, 32), (8, 4)):
+    for block, pivots in ((2048, 1024), (8, 4), (1, 1)):
         got = {r.vec_id: r for r in embed_join.link_vectors(df, block=block, pivots=pivots).collect()}
         assert len(got) == len(rows) + len(odd)
         for i in range(len(v)):
@@ -322,6 +322,29 @@ def test_embeddings(spark):
     assert embed_join.link_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_clusters_with_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(5)
+    centres = 5 * rng.normal(size=(12, 8))
+    x = np.concatenate([c + 0.8 * rng.normal(size=(60, 8)) for c in centres])
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    near = v @ v.T >= 0.95
+    r = float(np.sqrt(2 - 2 * 0.95))
+    pivots = embed_join.fit_pivots(v, 64)
+    assert len(embed_join.suited(v, pivots, 10**7, r)) > 8
+    want = components(range(len(v)), [(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if near[a, b]])
+    ddl = "vec_id long, embedding array<double>, v string, rep string, kept string"
+    rows = [(i, [float(y) for y in e], "a", "b", "c") for i, e in enumerate(x)]
+    for block in (2048, 16):
+        got = {r.vec_id: r for r in embed_join.link_vectors(spark.createDataFrame(rows, ddl), block=block).collect()}
+        assert all((got[i].n_links, got[i].component_id) == (near[i].sum() - 1, want[i]) for i in range(len(v)))
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    odd = [(5, a), (5, b), (5, a), (3, b), (7, c), (None, a), (None, None), (9, [-1.0, 0.0])]
+    got = embed_join.link_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [
+        (0, 0, 0, True), (0, 0, 0, True), (3, 1, 3, True), (5, 1, 3, False), (5, 2, 3, False), (5, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True),
+    ]
+
+
 def brute_class_model(train, model, n_classes):
     """Score of a text's tokens under the class bigrams of model.cls, counted anew."""
     cls = {w: int(model.cls[i]) for w, i in model.symbol.items()}
@@ -558,6 +581,46 @@ def test_html_keeps_all_of_the_article(spark):
         assert texts[200 + i] == (f"long {i} " * 20).strip() + f"\nshort {i}"
 
 
+def test_html_of_any_length_is_read_in_one_scan():
+    t = time.time()
+    assert html_extract.main_text("<p>one</p>" + "<a " * 350_000, None).startswith("one")
+    assert html_extract.main_text('<p>one</p><a "' + '<a ">" ' * 150_000 + "<p>two", None).startswith("one")
+    assert html_extract.main_text("<div>" * 100_000 + "deep" + "</span></div>" * 100_000, None) == "deep"
+    assert html_extract.main_text("<p>" + "a < b " * 200_000, None).startswith("a < b a < b")
+    assert time.time() - t < 20
+    assert html_extract.main_text('<p title="a > b">x</p><!-- <p>no</p> --><p>y &lt;p&gt;</p><p>z <', None) == "x\ny <p>\nz <"
+
+
+def test_html_templates_as_deduced_one_by_one(spark):
+    page = (
+        '<html><body><div class="top"><p>Site</p></div><article><h1>Head {0}</h1><p>Body {0}</p>'
+        '<section class="q7"><p>Written by the team</p></section>{1}</article></body></html>'
+    )
+    rows = [(i, f"http://a.example/{i}", page.format(i, "<p>on some pages</p>" if i % 3 == 0 else "")) for i in range(9)]
+    with_columns = spark.createDataFrame([(*r, "a", "b") for r in rows], "page_id long, url string, html string, host string, template string")
+    texts = {r.page_id: r.text for r in html_extract.extract(with_columns).collect()}
+    # Occurrence vectors in full: how often each token stands on each page.
+    vectors = {}
+    for i, _, html in rows:
+        p = html_extract.Page(html)
+        for path, (count, _) in p.elements.items():
+            vectors.setdefault(("element", path), {})[i] = count
+        for path, skip, text in p.blocks:
+            if not skip:
+                v = vectors.setdefault((path, text), {})
+                v[i] = v.get(i, 0) + 1
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(sorted(v.items())), []).append(token)
+    valid = [m for v, m in classes.items() if 2 * len(v) >= len(rows) and any(t[0] == "element" for t in m)]
+    constant = {t for m in valid for t in m if t[0] != "element"}
+    assert {t[1] for t in constant} == {"Site", "Written by the team"}
+    for i, _, html in rows:
+        blocks = [(p, x) for p, skip, x in html_extract.Page(html).blocks if not skip and "/article" in p]
+        assert texts[i] == "\n".join(x for p, x in blocks if (p, x) not in constant)
+        assert html_extract.main_text(html, None) != texts[i] and "on some pages" in html_extract.main_text(html, None) or i % 3
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
