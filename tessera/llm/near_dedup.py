@@ -175,13 +175,11 @@ def in_blocks(live: DataFrame, block: int) -> DataFrame:
     held = large.groupBy("key", "label").agg(F.sum(weight()).alias("c"))
     pooled = held.groupBy("key").agg(F.sum(F.when(F.col("c") < block, F.col("c"))).alias("rest"))
     alone = F.col("c") >= block
-    salt = F.when(alone, F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / block))).otherwise(
-        F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / block))
-    )
     owner = F.when(alone, F.col("label"))
-    rows = large.join(held, ["key", "label"]).join(pooled, "key").withColumn("owner", owner).withColumn(
-        "at", F.xxhash64("owner", salt)
-    )
+    salts = F.ceil(F.when(alone, F.col("c")).otherwise(F.col("rest")) / block)
+    shares = held.join(pooled, "key").select("key", "label", owner.alias("owner"), salts.alias("salts"))
+    salt = F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("label")).otherwise(F.col("rep"))), "salts")
+    rows = settle(large.join(shares, ["key", "label"]).select(*ROWS, "owner", F.xxhash64("owner", salt).alias("at")), "large")
     blocks = rows.select("key", "owner", "at").distinct()
     other = blocks.withColumnsRenamed({"owner": "owner2", "at": "at2"})
     pairs = (
@@ -324,7 +322,7 @@ def near_duplicates(
     width: int = 5,
     threshold: float = 0.8,
     trees: int = 32,
-    block: int = 1024,
+    block: int = 512,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
