@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settle
 from ..schema import DIFFERENCE
+from . import bits, text
 
 
 def unfenced(content: Column) -> Column:
@@ -121,3 +125,50 @@ def behaviors(raw: Column, most: int = 5) -> Column:
 
 def is_truncation(error: Column) -> Column:
     return error.contains("is not valid JSON") | error.contains("only reasoning")
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Stored rows with lists as lists and flags as booleans: lists are kept as JSON texts
+    (null or broken is empty), flags as numbers."""
+    lists = ("interesting_behaviors", "callee_summaries_used")
+    flags = ("security_relevant", "analyzed", "refined", "applied", "pseudocode_truncated")
+    out = {}
+    for c, kind in rows.dtypes:
+        if c in lists and kind == "string":
+            out[c] = F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+        elif c in flags and kind != "boolean":
+            out[c] = F.coalesce(F.col(c) != 0, F.lit(False))
+    return rows.withColumns(out) if out else rows
+
+
+def call_sized(
+    requests: DataFrame, call: Callable[[DataFrame], DataFrame], system_chars: int = 0, free_text: bool = False
+) -> DataFrame:
+    """requests (id, prompt) -> id, reply, error, num_ctx, prompt_chars. call takes (id, prompt,
+    num_ctx) and returns (id, content, error). A reply that was cut off is asked for once more
+    at the next context size, if there is one; other failures are not. Free text needs no JSON."""
+    chars = F.length("prompt") + system_chars
+    sized = requests.select("id", "prompt", chars.alias("prompt_chars"), bits.context_size(chars).alias("num_ctx"))
+
+    def judged(answers: DataFrame) -> DataFrame:
+        broken = F.when(F.col("content").isNotNull() & F.lit(not free_text), parse_reply(F.col("content"))["error"])
+        error = F.coalesce("error", broken)
+        return answers.select("id", F.when(error.isNull(), F.col("content")).alias("reply"), error.alias("error"))
+
+    first = settle(judged(call(sized.select("id", "prompt", "num_ctx"))), "first")
+    larger = F.try_element_at(F.filter(F.array(*map(F.lit, bits.CONTEXT_SIZES)), lambda s: s > F.col("num_ctx")), F.lit(1))
+    cut = sized.join(first.where(is_truncation(F.col("error"))).select("id"), "id", "left_semi").withColumn("num_ctx", larger).where("num_ctx IS NOT NULL")
+    again = settle(judged(call(cut.select("id", "prompt", "num_ctx"))).join(cut.select("id", "num_ctx"), "id"), "again")
+    more = again.select("id", F.struct("reply", "error", "num_ctx").alias("more"))
+    full = sized.join(first, "id", "left").join(more, "id", "left")
+    pick = lambda c: F.when(F.col("more").isNotNull(), F.col(f"more.{c}")).otherwise(F.col(c)).alias(c)
+    return full.select("id", pick("reply"), pick("error"), pick("num_ctx"), "prompt_chars")
+
+
+def resolve_model(models: DataFrame, wanted: str) -> DataFrame:
+    """models (name, parameter_size, size) -> (name, changed): the wanted one where a name
+    holds it or is held by it, else the largest by parameters; no rows without models."""
+    held = F.col("name").contains(wanted) | F.lit(wanted).contains(F.col("name"))
+    size = F.coalesce(text.billions(F.coalesce("parameter_size", F.lit("")), F.coalesce("size", F.lit(0))), F.lit(0.0))
+    best = models.agg(F.bool_or(held).alias("there"), F.max_by("name", F.struct(size, "name")).alias("largest")).where("there IS NOT NULL")
+    return best.select(F.when(F.col("there"), wanted).otherwise(F.col("largest")).alias("name"), (~F.col("there")).alias("changed"))

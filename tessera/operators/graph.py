@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
+from ..plans.ranks import places
+from .scan import in_call_order
 
 # Names that mark an entry point.
 ENTRY_NAMES = "main wmain winmain wwinmain dllmain start tlscallback dllentrypoint entry".split()
@@ -55,7 +57,8 @@ def depth_from_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    out = edges.groupBy(F.col("caller").alias("address")).agg(F.array_sort(F.collect_set("callee")).alias("callees"))
+    """Per function its callees in the order of their first calls, and its callers by address."""
+    out = edges.groupBy(F.col("caller").alias("address")).agg(in_call_order(edges, "callee").alias("callees"))
     back = edges.groupBy(F.col("callee").alias("address")).agg(F.array_sort(F.collect_set("caller")).alias("callers"))
     none = F.array().cast("array<long>")
     return (
@@ -67,27 +70,30 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 24) -> DataFrame:
-    """sources (source) -> (source, address, hop, path): one shortest path each; of equal
-    ones that over the smallest predecessor."""
+    """sources (source) -> (source, address, hop, path): one shortest path each, of equal ones
+    that which a walk in the order of calls finds first (edges may have ``first``, the place of
+    a call; else by address). Each source has a row for each node it reaches, so sources are few."""
+    calls = edges if "first" in edges.columns else edges.withColumn("first", F.col("callee"))
+    none = F.array().cast("array<long>")
     seen = settle(
-        sources.select("source", F.col("source").alias("address"), F.lit(0).alias("hop"), F.array("source").alias("path")),
+        sources.select("source", F.col("source").alias("address"), F.lit(0).alias("hop"), none.alias("calls"), F.array("source").alias("path")),
         "paths",
     )
     frontier = seen
     for hop in range(1, max_depth + 1):
         step = (
-            frontier.join(edges, frontier["address"] == edges["caller"])
+            frontier.join(calls, frontier["address"] == calls["caller"])
             .groupBy("source", F.col("callee").alias("next"))
-            .agg(F.min_by("path", F.col("address")).alias("path"))
+            .agg(F.min(F.struct(F.concat("calls", F.array("first")).alias("calls"), "path")).alias("best"))
             .withColumnRenamed("next", "address")
             .join(seen.select("source", "address"), ["source", "address"], "left_anti")
-            .select("source", "address", F.lit(hop).alias("hop"), F.concat("path", F.array("address")).alias("path"))
+            .select("source", "address", F.lit(hop).alias("hop"), "best.calls", F.concat("best.path", F.array("address")).alias("path"))
         )
         frontier = settle(step, "paths")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen
+    return seen.drop("calls")
 
 
 def entry_points(nodes: DataFrame) -> DataFrame:
@@ -101,8 +107,8 @@ def entry_points(nodes: DataFrame) -> DataFrame:
         F.when(named, F.col("name")).alias("by_name"),
         F.when(named, 0).otherwise(-F.col("size_bytes")).alias("by_size"),
     )
-    order = W.orderBy("segment", F.asc_nulls_last("by_name"), "by_size", "address")
-    return found.select("address", "name", "segment", F.row_number().over(order).alias("place"))
+    ranked = places(found, "segment", F.asc_nulls_last("by_name"), "by_size", "address")
+    return ranked.select("address", "name", "segment", "place")
 
 
 def paths_to_sinks(nodes: DataFrame, edges: DataFrame, scores: DataFrame, limit: int = 15, sources: int = 12) -> DataFrame:
@@ -186,7 +192,7 @@ def leaves_first(items: DataFrame, related: DataFrame) -> DataFrame:
     """Items by how many others of the set they call: (address, name, calls_within, place)."""
     calls = related.where("relation = 'calls'").groupBy("address").agg(F.count("*").alias("calls_within"))
     counted = items.join(calls, "address", "left").select("address", "name", F.coalesce("calls_within", F.lit(0)).alias("calls_within"))
-    return counted.withColumn("place", F.row_number().over(W.orderBy("calls_within", "address")))
+    return places(counted, "calls_within", "address")
 
 
 def overview(nodes: DataFrame, analyzed: DataFrame, prefixes: list[str]) -> DataFrame:

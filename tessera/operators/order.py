@@ -8,10 +8,10 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
+from ..plans.ranks import places
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def worklist(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame
         .join(scores.select("address", "total"), "address")
         .select("address", "level", "component", "upper", "total")
     )
-    order = W.orderBy(F.asc_nulls_last("level"), F.asc_nulls_first("upper"), F.asc_nulls_first("component"), F.desc("total"), "address")
-    return rows.select("address", "level", "component", "total", F.row_number().over(order).alias("place"))
+    order = (F.asc_nulls_last("level"), F.asc_nulls_first("upper"), F.asc_nulls_first("component"), F.desc("total"), F.asc("address"))
+    return places(rows, *order).select("address", "level", "component", "total", "place")
 
 
 def exact_worklist(nodes: DataFrame, edges: DataFrame, scores: DataFrame, program: str = "program") -> DataFrame:

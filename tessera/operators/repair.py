@@ -89,8 +89,3 @@ def repair(rows: DataFrame, edges: DataFrame, correct: Callable[[DataFrame], Dat
             "tried",
         )
     return rows, total
-
-
-def return_value_used(code: Column, name: Column) -> Column:
-    """Whether a line of a caller's code compares a call of name with == or !=."""
-    return F.exists(F.split(code, "\n"), lambda x: x.contains(name) & (x.contains("==") | x.contains("!=")))

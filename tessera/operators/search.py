@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,7 +96,3 @@ def by_confidence(rows: DataFrame, k: int, security_only: bool = False) -> DataF
 def stale(current: DataFrame, stored: str | None) -> bool:
     """Whether an index with the stored signature must be rebuilt; current has one row."""
     return stored is None or current.first()["signature"] != stored
-
-
-def frame(rows: list[tuple[str, list[float]]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["address", "embedding"])

@@ -9,20 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder set in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder set in spark.checkpoint.dir. Only where none is set and all runs on this
+    machine, one of our own: executors of a cluster would not see each other's files there."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None and (java := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         folder = java.get()
     if folder is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_folder(spark)}/tessera-{sc.applicationId}"
+    if getattr(sc, "_tessera_folder", None) != path:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        sc._tessera_folder = path
+    return path
+
+
 def settle(df: DataFrame, what: str = "rows") -> DataFrame:
-    """df, written to the shared folder and read back: later steps start from files
-    that survive lost executors, and plans of loops stay short."""
+    """df, written to the shared folder and read back: later steps start from files that
+    survive lost executors, read the columns they need, and plans of loops stay short."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}/{what}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}/{what}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

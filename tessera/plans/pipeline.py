@@ -6,11 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import duration, hex_address
 from ..operators import graph, kb, validate
+from .ranks import places, running
 
 
 def scope(nodes: DataFrame, edges: DataFrame, targets: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def build_plan(
     fresh = named.where(validate.is_candidate(F.col("name"), config)).join(done.withColumnRenamed("address", "key"), "key", "left_anti")
     chosen = fresh if forced is None else fresh.union(named.join(forced, "address", "left_semi").select(fresh.columns)).distinct()
     placed = chosen.join(order.select("address", "place"), "address", "left")
-    ranked = placed.select("address", "name", F.row_number().over(W.orderBy(F.asc_nulls_last("place"), "address")).alias("place"))
+    ranked = places(placed.withColumnRenamed("place", "given"), F.asc_nulls_last("given"), "address").select("address", "name", "place")
     return ranked if limit is None else ranked.where(F.col("place") <= limit)
 
 
@@ -42,8 +42,8 @@ def estimate(plan: DataFrame, seconds_per_call: float) -> DataFrame:
 
 def budgeted(rows: DataFrame, limit: int) -> DataFrame:
     """rows (place, rejection): all cheap rejections before the limit-th call, and that many calls."""
-    calls = F.sum(F.when(F.col("rejection").isNull(), 1).otherwise(0)).over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("calls", calls).where((F.col("calls") < limit) | ((F.col("calls") == limit) & F.col("rejection").isNull()) )
+    counted = running(rows, F.when(F.col("rejection").isNull(), 1).otherwise(0).cast("long"), "place", name="calls")
+    return counted.where((F.col("calls") < limit) | ((F.col("calls") == limit) & F.col("rejection").isNull()))
 
 
 def run_level(context: DataFrame, rows: DataFrame, analyze: Callable[[DataFrame], DataFrame], config: dict, seq: int) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from . import config as settings
 from . import schema
 from .functions import bits, payload, text
-from .operators import graph, kb, match, order, repair, report, scan, score, search, validate
-from .plans import pipeline
+from .operators import diff, graph, kb, match, order, refine, repair, report, scan, score, search, validate, views
+from .plans import apply, pipeline
 from .plans.lineage import settle
+from .plans.ranks import places
 from .sources import files
 from .sources.fixtures import ctes, view
+from .streaming import audit
 
 CONFIG = settings.load()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,10 +65,16 @@ reach(address) AS (SELECT caller FROM apis WHERE api IN ({INPUTS}) UNION SELECT
 walk(address, hop) AS (SELECT address, 0 FROM functions WHERE address NOT IN (SELECT caller FROM edges)
   UNION SELECT e.caller, w.hop + 1 FROM walk w JOIN edges e ON e.callee = w.address WHERE w.hop < 40),
 depths AS (SELECT address, min(hop) AS depth FROM walk GROUP BY address),
+api20 AS (SELECT caller, api, min(item) AS item FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY item, api) AS rn FROM apis) WHERE rn <= 20 GROUP BY ALL),
+text20 AS (SELECT caller, value, min(item) AS item FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY item, value) AS rn FROM texts) WHERE rn <= 20 GROUP BY ALL),
+sinks AS (SELECT caller, api, min(item) AS item FROM apis WHERE api IN ({SINKS}) GROUP BY ALL),
+firsts AS (SELECT x.caller, x.target AS callee, min(x.item) AS item FROM xrefs x JOIN functions f ON x.target = f.address WHERE x.caller <> x.target AND x.is_code GROUP BY ALL),
 nodes AS (SELECT f.*, coalesce(n.n, 0) AS caller_count,
-  coalesce((SELECT list_sort(list(DISTINCT api)) FROM apis a WHERE a.caller = f.address), []) AS import_refs,
-  coalesce((SELECT list_sort(list(DISTINCT value)) FROM texts a WHERE a.caller = f.address), []) AS string_refs,
-  coalesce((SELECT list_sort(list(DISTINCT api)) FROM apis a WHERE a.caller = f.address AND api IN ({SINKS})), []) AS sinks,
+  coalesce((SELECT list(api ORDER BY item, api) FROM api20 a WHERE a.caller = f.address), []) AS import_refs,
+  coalesce((SELECT list(value ORDER BY item, value) FROM text20 a WHERE a.caller = f.address), []) AS string_refs,
+  coalesce((SELECT list(api ORDER BY item, api) FROM sinks a WHERE a.caller = f.address), []) AS sinks,
+  coalesce((SELECT list(callee ORDER BY item, callee) FROM firsts a WHERE a.caller = f.address), []) AS callee_addresses,
+  coalesce((SELECT list_sort(list(DISTINCT c))[1:64] FROM consts a WHERE a.caller = f.address AND abs(c) > 16), []) AS constant_operands,
   f.address IN (SELECT address FROM reach) AS input_reachable, coalesce(d.depth, 0) AS depth
   FROM functions f LEFT JOIN (SELECT callee, count(*) AS n FROM edges GROUP BY callee) n ON n.callee = f.address
   LEFT JOIN depths d ON d.address = f.address),
@@ -79,27 +87,44 @@ scored AS (SELECT *, CAST(CASE WHEN len(sinks) > 0 THEN 3 ELSE 0 END + CASE WHEN
 """
 
 
-@query(NODES + "SELECT address, name, caller_count, import_refs, string_refs, sinks AS dangerous_sink_calls, input_reachable FROM nodes")
+@query(NODES + "SELECT address, name, caller_count, callee_addresses, import_refs, string_refs, sinks AS dangerous_sink_calls, constant_operands, input_reachable FROM nodes")
 def scan_annotated_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Single pass over references with joins to functions, imports and strings; degrees; input reachability."""
+    """References joined to functions, imports and strings, in scan order; degrees; input reachability."""
     nodes, _ = base_nodes(spark, d)
     return nodes.select(
-        "address", "name", "caller_count", F.array_sort("import_refs").alias("import_refs"), F.array_sort("string_refs").alias("string_refs"),
-        F.array_sort("dangerous_sink_calls").alias("dangerous_sink_calls"), "input_reachable",
-    )
+        "address", "name", "caller_count", "callee_addresses", "import_refs", "string_refs", "dangerous_sink_calls", "constant_operands", "input_reachable"
+    )
 
 
 @query(ctes("edges") + "SELECT caller, callee FROM edges")
 def scan_edges(spark: SparkSession, d: str) -> DataFrame:
-    return scan.edges(view(spark, d, "xrefs"), view(spark, d, "functions"))
+    return scan.edges(view(spark, d, "xrefs"), view(spark, d, "functions")).select("caller", "callee")
 
 
-@query(NODES + "SELECT caller AS address, list_sort(list(DISTINCT c))[1:64] AS constants FROM consts WHERE abs(c) > 16 GROUP BY caller")
+@query(NODES + "SELECT address, constant_operands AS constants FROM nodes")
 def scan_constants(spark: SparkSession, d: str) -> DataFrame:
     """Signed 64-bit immediates above a magnitude, distinct, sorted, capped."""
-    v = view(spark, d, "operands").where(~F.col("is_offset")).select("caller", bits.signed64(F.col("value")).alias("c"))
-    kept = v.where(bits.tracked_constant(F.col("c")))
-    return kept.groupBy(F.col("caller").alias("address")).agg(F.slice(F.array_sort(F.collect_set("c")), 1, 64).alias("constants"))
+    noted = scan.annotations(view(spark, d, "xrefs"), view(spark, d, "functions"), view(spark, d, "imports"), view(spark, d, "strings"), view(spark, d, "operands"), CONFIG)
+    return noted.select("address", F.col("constant_operands").alias("constants"))
+
+
+@query(NODES + "SELECT address, coalesce((SELECT list(api ORDER BY item, api) FROM (SELECT api, min(a.item) AS item FROM apis a WHERE a.caller = f.address GROUP BY api)), []) AS imported_apis FROM functions f")
+def scan_imports(spark: SparkSession, d: str) -> DataFrame:
+    """All imports of each function, uncapped, in scan order."""
+    f = view(spark, d, "functions")
+    found = scan.imports_of(view(spark, d, "xrefs"), f, view(spark, d, "imports"))
+    return f.select("address").join(found, "address", "left").select("address", F.coalesce("imported_apis", F.array().cast("array<string>")).alias("imported_apis"))
+
+
+@query(ctes("functions", "edges") + """
+SELECT f.address, coalesce((SELECT string_agg(concat('0x', hex(e.callee), '=', g.name), ' ' ORDER BY concat('0x', hex(e.callee), '=', g.name)) FROM edges e JOIN functions g ON g.address = e.callee WHERE e.caller = f.address), '') AS callees,
+  coalesce((SELECT string_agg(concat('0x', hex(e.caller), '=', g.name), ' ' ORDER BY concat('0x', hex(e.caller), '=', g.name)) FROM edges e JOIN functions g ON g.address = e.caller WHERE e.callee = f.address), '') AS callers FROM functions f""")
+def scan_call_names(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of callees and callers, hexadecimal address to name, uncapped."""
+    f = view(spark, d, "functions")
+    named = scan.call_names(view(spark, d, "edges"), f.select("address", F.col("name").alias("shown")))
+    flat = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
+    return named.select("address", flat("callee_names").alias("callees"), flat("caller_names").alias("callers"))
 
 
 @query(ctes("imports", "strings") + "SELECT address, coalesce(name, 'ord_' || ordinal) AS value FROM imports UNION ALL SELECT address, value FROM strings WHERE length(trim(value)) >= 2")
@@ -137,28 +162,19 @@ def score_suspicious(spark: SparkSession, d: str) -> DataFrame:
     return score.suspicious(s, 20, CONFIG).select("address", "name", "total")
 
 
-@query(ctes("functions", "edges") + """, w(address, hop) AS (SELECT address, 0 FROM functions WHERE address % 100 = 7
+@query(ctes("functions", "edges") + """, w(address, hop) AS (SELECT address, 0 FROM functions WHERE starts_with(name, 'main_')
   UNION SELECT e.callee, w.hop + 1 FROM w JOIN edges e ON e.caller = w.address WHERE w.hop < 2)
 SELECT address, min(hop) AS hop FROM w GROUP BY address""")
 def graph_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Bounded breadth-first walk from several seeds."""
-    seeds = view(spark, d, "functions").where("address % 100 = 7")
+    seeds = view(spark, d, "functions").where("startswith(name, 'main_')")
     return graph.distances(settle(view(spark, d, "edges"), "edges"), seeds, depth=2)
 
 
-@query(ctes("functions", "edges") + """, w(address) AS (SELECT address FROM functions WHERE address % 50 = 3
+@query(ctes("functions", "edges") + """, w(address) AS (SELECT address FROM functions WHERE starts_with(name, 'j_')
   UNION SELECT e.callee FROM w JOIN edges e ON e.caller = w.address) SELECT address FROM w""")
 def graph_full_subtree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reachable(settle(view(spark, d, "edges"), "edges"), view(spark, d, "functions").where("address % 50 = 3"))
-
-
-@query(ctes("functions", "edges") + """, w(source, address, hop) AS (SELECT address, address, 0 FROM functions WHERE address % 40 = 1
-  UNION SELECT w.source, e.callee, w.hop + 1 FROM w JOIN edges e ON e.caller = w.address WHERE w.hop < 24)
-SELECT source, address, min(hop) AS hop, min(hop) + 1 AS path_length FROM w GROUP BY source, address""")
-def graph_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    sources = view(spark, d, "functions").where("address % 40 = 1").select(F.col("address").alias("source"))
-    p = graph.shortest_paths(settle(view(spark, d, "edges"), "edges"), sources)
-    return p.select("source", "address", "hop", F.size("path").alias("path_length"))
+    return graph.reachable(settle(view(spark, d, "edges"), "edges"), view(spark, d, "functions").where("startswith(name, 'j_')"))
 
 
 ENTRY = "(" + "|".join(graph.ENTRY_NAMES) + ")"
@@ -175,16 +191,47 @@ def graph_entry_points(spark: SparkSession, d: str) -> DataFrame:
     return graph.entry_points(base_nodes(spark, d)[0])
 
 
-@query(NODES + ENTRIES + """, starts AS (SELECT address AS source, place FROM entries WHERE place <= 12),
+# Of several shortest paths, the one found first: that whose calls come first, from the start on.
+PATHS = NODES + ENTRIES + """, starts AS (SELECT address AS source, place FROM entries WHERE place <= 12),
 w2(source, address, hop) AS (SELECT source, source, 0 FROM starts
   UNION SELECT w2.source, e.callee, w2.hop + 1 FROM w2 JOIN edges e ON e.caller = w2.address WHERE w2.hop < 24),
-p AS (SELECT source, address, min(hop) AS hop FROM w2 GROUP BY ALL HAVING min(hop) > 0),
-r AS (SELECT p.*, s.total, row_number() OVER (PARTITION BY p.address ORDER BY st.place) AS k FROM p
-  JOIN starts st USING (source) JOIN scored s ON s.address = p.address WHERE len(s.sinks) > 0)
-SELECT address, source, hop, total FROM r WHERE k = 1 ORDER BY total DESC, address LIMIT 15""")
+p AS (SELECT source, address, min(hop) AS hop FROM w2 GROUP BY ALL),
+ways(source, address, hop, calls, path) AS (SELECT source, source, 0, CAST([] AS BIGINT[]), [source] FROM starts
+  UNION ALL SELECT w.source, c.callee, w.hop + 1, list_append(w.calls, c.item), list_append(w.path, c.callee)
+  FROM ways w JOIN firsts c ON c.caller = w.address JOIN p ON p.source = w.source AND p.address = c.callee AND p.hop = w.hop + 1),
+best AS (SELECT source, address, min(hop) AS hop, arg_min(path, calls) AS path FROM ways GROUP BY ALL)
+"""
+
+
+@query(PATHS + "SELECT source, address, hop, path FROM best")
+def graph_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths from the first entry points to all that they reach."""
+    nodes, calls = base_nodes(spark, d)
+    sources = graph.entry_points(nodes).where(F.col("place") <= 12).select(F.col("address").alias("source"))
+    return graph.shortest_paths(calls, sources)
+
+
+@query(PATHS + """, r AS (SELECT best.*, s.total, row_number() OVER (PARTITION BY best.address ORDER BY st.place) AS k FROM best
+  JOIN starts st USING (source) JOIN scored s ON s.address = best.address WHERE len(s.sinks) > 0 AND hop > 0)
+SELECT address, source, hop, path, total FROM r WHERE k = 1 ORDER BY total DESC, address LIMIT 15""")
 def graph_paths_to_sinks(spark: SparkSession, d: str) -> DataFrame:
     nodes, calls, s = scores(spark, d)
-    return graph.paths_to_sinks(nodes, calls, s).select("address", "source", "hop", "total")
+    return graph.paths_to_sinks(nodes, calls, s).select("address", "source", "hop", "path", "total")
+
+
+@query(PATHS + """, r AS (SELECT best.*, s.total, row_number() OVER (PARTITION BY best.address ORDER BY st.place) AS k FROM best
+  JOIN starts st USING (source) JOIN scored s ON s.address = best.address WHERE len(s.sinks) > 0 AND hop > 0),
+t AS (SELECT address AS path_no, path FROM r WHERE k = 1 ORDER BY total DESC, address LIMIT 15),
+u AS (SELECT path_no, unnest(path) AS address, generate_subscripts(path, 1) - 1 AS step FROM t)
+SELECT path_no, string_agg(concat('    ', repeat('  ', step), CASE WHEN step > 0 THEN '└─ ' ELSE '' END, '0x', hex(u.address), '  ', n.name,
+  CASE WHEN len(sinks) > 0 THEN concat('   [', array_to_string(sinks[1:2], ','), ']') ELSE '' END), chr(10) ORDER BY step) AS text,
+  (SELECT count(DISTINCT address) FROM u) AS functions FROM u JOIN nodes n ON n.address = u.address GROUP BY path_no""")
+def view_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths as indented lines, and how many functions are on them."""
+    nodes, calls, s = scores(spark, d)
+    paths = settle(graph.paths_to_sinks(nodes, calls, s).select(F.col("address").alias("path_no"), "path"), "paths")
+    return views.describe_paths(paths, nodes).join(F.broadcast(views.distinct_on_paths(paths).select("functions")))
+
 
 
 @query(NODES + """, hits AS (SELECT address, name, CASE WHEN contains(lower(name), 'ing') THEN 'name'
@@ -216,26 +263,26 @@ def graph_resolve(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolve(f, k, names)
 
 
-@query(ctes("functions", "edges") + """, it AS (SELECT address, name FROM functions WHERE address % 3 = 0)
+@query(ctes("functions", "edges") + """, it AS (SELECT address, name FROM functions WHERE NOT starts_with(name, 'sub_'))
 SELECT e.caller AS address, e.callee AS other, b.name AS other_name, 'calls' AS relation FROM edges e JOIN it a ON a.address = e.caller JOIN it b ON b.address = e.callee
 UNION ALL SELECT e.callee, e.caller, a.name, 'called_by' FROM edges e JOIN it a ON a.address = e.caller JOIN it b ON b.address = e.callee""")
 def graph_relatedness(spark: SparkSession, d: str) -> DataFrame:
-    return graph.relatedness(view(spark, d, "edges"), view(spark, d, "functions").where("address % 3 = 0"))
+    return graph.relatedness(view(spark, d, "edges"), view(spark, d, "functions").where("NOT startswith(name, 'sub_')"))
 
 
-@query(ctes("functions", "edges") + """, it AS (SELECT address, name FROM functions WHERE address % 3 = 0),
-c AS (SELECT it.address, it.name, (SELECT count(*) FROM edges e WHERE e.caller = it.address AND e.callee % 3 = 0 AND e.callee IN (SELECT address FROM it)) AS calls_within FROM it)
+@query(ctes("functions", "edges") + """, it AS (SELECT address, name FROM functions WHERE NOT starts_with(name, 'sub_')),
+c AS (SELECT it.address, it.name, (SELECT count(*) FROM edges e WHERE e.caller = it.address AND e.callee IN (SELECT address FROM it)) AS calls_within FROM it)
 SELECT address, name, calls_within, row_number() OVER (ORDER BY calls_within, address) AS place FROM c""")
 def graph_leaves_first(spark: SparkSession, d: str) -> DataFrame:
-    items = view(spark, d, "functions").where("address % 3 = 0")
+    items = view(spark, d, "functions").where("NOT startswith(name, 'sub_')")
     return graph.leaves_first(items, graph.relatedness(view(spark, d, "edges"), items))
 
 
-@query(ctes("functions", "edges") + """
-SELECT f.address, f.name, coalesce((SELECT list_sort(list(DISTINCT callee)) FROM edges e WHERE e.caller = f.address), []) AS callees,
-  coalesce((SELECT list_sort(list(DISTINCT caller)) FROM edges e WHERE e.callee = f.address), []) AS callers FROM functions f""")
+@query(NODES + """SELECT address, name, callee_addresses AS callees,
+  coalesce((SELECT list_sort(list(DISTINCT caller)) FROM edges e WHERE e.callee = f.address), []) AS callers FROM nodes f""")
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(view(spark, d, "functions"), view(spark, d, "edges"))
+    f = view(spark, d, "functions")
+    return graph.neighbours(f, scan.edges(view(spark, d, "xrefs"), f))
 
 
 @query(NODES + f"""SELECT count(*) AS functions, count_if(regexp_matches(name, '^(sub_|j_|nullsub_|locret_|loc_)')) AS auto_named,
@@ -304,9 +351,7 @@ def kb_unrefined(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ctes("kb") + "SELECT address, row_number() OVER (ORDER BY address) AS place FROM kb WHERE pseudocode_truncated")
 def kb_truncated(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    return kb.truncated(view(spark, d, "kb")).select("address", F.row_number().over(W.orderBy("address")).alias("place"))
+    return places(kb.truncated(view(spark, d, "kb")), "address").select("address", "place")
 
 
 @query(ctes("kb") + "SELECT address, summary FROM kb WHERE coalesce(summary, '') <> ''")
@@ -409,13 +454,22 @@ def kb_evolve(spark: SparkSession, d: str) -> DataFrame:
     return kb.evolve(rows, schema.KB).select("address", "status", "num_ctx_used")
 
 
-@query("""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) AS seq, event_id % 4 AS calls, value AS elapsed FROM events WHERE event_id < 400),
-s AS (SELECT row_number() OVER (ORDER BY seq) AS k, elapsed / calls AS v FROM r WHERE calls > 0 AND elapsed > 0)
-SELECT list_reduce(list(v ORDER BY k), lambda a, x: round(a * 0.6 + x * 0.4, 4)) AS seconds_per_call FROM (SELECT k, CASE WHEN k = 1 THEN round(v, 4) ELSE v END AS v FROM s)""")
+@query("""WITH r AS (SELECT user_id AS workspace, event_id AS seq, event_id % 4 AS calls, value AS elapsed FROM events),
+s AS (SELECT workspace, row_number() OVER (PARTITION BY workspace ORDER BY seq) AS k, elapsed / calls AS v FROM r WHERE calls > 0 AND elapsed > 0)
+SELECT workspace, list_reduce(list(CASE WHEN k = 1 THEN round(v, 4) ELSE v END ORDER BY k), lambda a, x: round(a * 0.6 + x * 0.4, 4)) AS seconds_per_call FROM s GROUP BY workspace""")
 def kb_timing(spark: SparkSession, d: str) -> DataFrame:
-    """A running average folded in order."""
-    runs = view(spark, d, "events").where("event_id < 400").selectExpr("event_id AS seq", "event_id % 4 AS calls", "value AS elapsed")
-    return kb.timing(runs)
+    """Each workspace's running average, folded in the order of its runs."""
+    runs = view(spark, d, "events").selectExpr("user_id AS workspace", "event_id AS seq", "event_id % 4 AS calls", "value AS elapsed")
+    return kb.timing(runs, "workspace")
+
+
+@query(ctes("kb") + """, m AS (SELECT address AS key, status AS value FROM kb), c AS (SELECT address AS key, 'changed' AS value FROM kb WHERE risk = 'high')
+SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM c) UNION ALL SELECT key, value FROM c""")
+def kb_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Settings by key: changed ones replaced, new ones added."""
+    rows = view(spark, d, "kb")
+    meta = rows.select(F.col("address").alias("key"), F.col("status").alias("value"))
+    return files.set_meta(meta, rows.where("risk = 'high'").select(F.col("address").alias("key"), F.lit("changed").alias("value")))
 
 
 @query(ctes("functions", "kb") + """SELECT f.address, coalesce(nullif(k.new_name, ''), k.old_name, f.name) AS shown_name, k.status FROM functions f LEFT JOIN kb k ON k.address = concat('0x', hex(f.address))""")
@@ -504,17 +558,19 @@ def search_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(ctes("kb") + f""", pool AS (SELECT concat('0x', hex(vec_id)) AS address, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({QUERY_VECTOR} AS DOUBLE[])) AS sim FROM embeddings ORDER BY sim DESC, address LIMIT 80),
-h AS (SELECT p.*, k.new_name, k.old_name, sim + CASE k.risk WHEN 'medium' THEN 0.03 WHEN 'high' THEN 0.07 ELSE 0 END + CASE WHEN security_relevant THEN 0.02 ELSE 0 END AS adjusted,
-  regexp_replace(coalesce(nullif(new_name, ''), nullif(old_name, ''), '?'), '_\\d+$', '') AS family FROM pool p JOIN kb k USING (address) WHERE sim >= 0.1),
-r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY adjusted DESC, address) AS k, count(*) OVER (PARTITION BY family) - 1 AS similar_count FROM h),
-b AS (SELECT * FROM r WHERE k = 1 ORDER BY adjusted DESC, address LIMIT 20) SELECT address, family, round(sim, 6) AS sim, round(adjusted, 6) AS adjusted, similar_count FROM b""".replace("\\\\", "\\"))
+m AS (SELECT unnest([false, true]) AS security_only),
+h AS (SELECT m.security_only, p.*, k.new_name, k.old_name, sim + CASE k.risk WHEN 'medium' THEN 0.03 WHEN 'high' THEN 0.07 ELSE 0 END + CASE WHEN security_relevant THEN 0.02 ELSE 0 END AS adjusted,
+  coalesce(nullif(body_hash, ''), regexp_replace(coalesce(nullif(new_name, ''), nullif(old_name, ''), '?'), '_[0-9]+$', '')) AS family FROM m, pool p JOIN kb k USING (address) WHERE sim >= 0.1 AND (security_relevant OR NOT security_only)),
+r AS (SELECT *, row_number() OVER (PARTITION BY security_only, family ORDER BY adjusted DESC, address) AS k, count(*) OVER (PARTITION BY security_only, family) - 1 AS similar_count FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY security_only ORDER BY adjusted DESC, address) AS place FROM r WHERE k = 1)
+SELECT security_only, address, family, round(sim, 6) AS sim, round(adjusted, 6) AS adjusted, similar_count FROM b WHERE place <= 20""")
 def search_semantic(spark: SparkSession, d: str) -> DataFrame:
-    """Pool, floor, boosts, one result a family of names, top k."""
+    """Pool, floor, security filter or not, boosts, one result a family, top k."""
     c = settings.merged(CONFIG, {"search": {"min_similarity": 0.1}})
     vectors = view(spark, d, "embeddings").select(text.hex_address(F.col("vec_id")).alias("address"), "embedding")
-    rows = view(spark, d, "kb").withColumn("body_hash", F.lit(None).cast("string"))
-    hits = search.semantic(vectors, rows, query_vector(spark, d), 20, c)
-    return hits.select("address", "family", F.round("sim", 6).alias("sim"), F.round("adjusted", 6).alias("adjusted"), "similar_count")
+    rows, q = view(spark, d, "kb"), query_vector(spark, d)
+    both = [search.semantic(vectors, rows, q, 20, c, only).withColumn("security_only", F.lit(only)) for only in (False, True)]
+    return both[0].unionByName(both[1]).select("security_only", "address", "family", F.round("sim", 6).alias("sim"), F.round("adjusted", 6).alias("adjusted"), "similar_count")
 
 
 @query(ctes("kb") + "SELECT address, confidence FROM kb WHERE analyzed ORDER BY coalesce(confidence, 0) DESC, address LIMIT 30")
@@ -611,13 +667,17 @@ def report_signals(spark: SparkSession, d: str) -> DataFrame:
     return report.signal_lines(nodes.withColumn("dangerous_sink_calls", F.array_sort("dangerous_sink_calls")))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '//[^\n]*', '', 'g'), '\b0[xX][0-9A-Fa-f]+\b', 'NUM', 'g') AS x FROM documents WHERE NOT contains(text, '{') AND NOT contains(text, '"') AND NOT contains(text, '''') AND NOT regexp_matches(text, '[0-9]'))
-SELECT doc_id, sha256(x)[1:16] AS body_hash, len(list_filter(string_split(x, chr(10)), lambda l: trim(l, ' ') NOT IN ('', '{', '}'))) >= 8 AS hashable FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '//[^\n]*', '', 'g') AS x FROM documents),
+b AS (SELECT doc_id, CASE WHEN contains(x, '{') THEN regexp_replace(x, '^[^{]*\{[^\n]*\n?', '') ELSE x END AS x FROM t),
+p AS (SELECT doc_id, regexp_extract_all(x, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|[^"'']+|["'']') AS parts FROM b),
+n AS (SELECT doc_id, array_to_string(list_transform(parts, lambda s: CASE WHEN length(s) > 1 AND s[1] IN ('"', chr(39)) THEN s ELSE
+  regexp_replace(regexp_replace(regexp_replace(s, '\b(?:sub|loc|locret|off|byte|word|dword|qword|unk)_[0-9A-Fa-f]+\b', 'ADDR', 'g'), '\b0[xX][0-9A-Fa-f]+\b', 'NUM', 'g'),
+    '(^|[^0-9A-Za-z_.])[0-9]+[uUlL]{0,3}\b', '\1NUM', 'g') END), '') AS x FROM p)
+SELECT doc_id, sha256(x)[1:16] AS body_hash, len(list_filter(string_split(x, chr(10)), lambda l: trim(l, ' ') NOT IN ('', '{', '}'))) >= 8 AS hashable FROM n""")
 def text_body_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Normalisation and hash of bodies; SQL covers bodies without numbers and literals."""
-    docs = view(spark, d, "documents").where(~F.col("text").contains("{") & ~F.col("text").contains('"') & ~F.col("text").contains("'") & ~F.col("text").rlike("[0-9]"))
+    """Normalisation and hash of bodies."""
     normal = text.normalize_code(F.col("text"))
-    return docs.select("doc_id", text.body_hash(normal).alias("body_hash"), text.is_hashable(normal).alias("hashable"))
+    return view(spark, d, "documents").select("doc_id", text.body_hash(normal).alias("body_hash"), text.is_hashable(normal).alias("hashable"))
 
 
 @query(r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_type || p_brand || ' ' || p_name, '[\s\-.]+', '_', 'g'), '[^a-zA-Z0-9_]', '', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z\d])([A-Z])', '\1_\2', 'g')), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS snake,
@@ -638,7 +698,7 @@ def text_trim_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN floor(event_id * 100 / 2.86) + 2048 <= 8192 THEN 8192 WHEN floor(event_id * 100 / 2.86) + 2048 <= 16384 THEN 16384 WHEN floor(event_id * 100 / 2.86) + 2048 <= 32768 THEN 32768
-  WHEN floor(event_id * 100 / 2.86) + 2048 <= 65536 THEN 65536 ELSE 131072 END AS num_ctx, CASE WHEN value < 90 THEN format('{:.0f}s', value) WHEN value < 5400 THEN format('{:.0f} min', value / 60) ELSE format('{:.1f} h', value / 3600) END AS took FROM events""")
+  WHEN floor(event_id * 100 / 2.86) + 2048 <= 65536 THEN 65536 ELSE 131072 END AS num_ctx, CASE WHEN value < 90 THEN concat(CAST(floor(value) AS BIGINT), 's') WHEN value < 5400 THEN format('{:.0f} min', value / 60) ELSE format('{:.1f} hours', value / 3600) END AS took FROM events""")
 def bits_context_size(spark: SparkSession, d: str) -> DataFrame:
     e = view(spark, d, "events")
     return e.select("event_id", bits.context_size(F.col("event_id") * 100).alias("num_ctx"), text.duration(F.col("value")).alias("took"))
@@ -672,17 +732,21 @@ def payload_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("l_orderkey", payload.rolled_up(F.col("d")).alias("r")).select("l_orderkey", "r.meaningful_diff_found", "r.security_relevant", "r.risk")
 
 
-@query("""WITH b AS (SELECT o_orderkey % 97 AS b, min(CASE WHEN o_orderkey % 97 % 10 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS first_seen FROM orders WHERE o_orderkey < 3000 GROUP BY ALL)
+@query("""WITH b AS (SELECT o_orderkey // 200 AS b, min(CASE WHEN o_orderkey // 200 % 10 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS first_seen FROM orders GROUP BY ALL)
 SELECT 'sha' || b AS sha256, concat('10.0.', CASE WHEN b % 2 = 0 THEN '26100' ELSE '19041' END, '.', b) AS version, first_seen, row_number() OVER (ORDER BY first_seen NULLS LAST, 'sha' || b) AS place FROM b WHERE b % 3 <> 1 AND b % 2 = 0""")
 def source_build_index(spark: SparkSession, d: str) -> DataFrame:
-    """A two-level map of builds, flattened, filtered, earliest release first, undated last."""
-    from pyspark.sql import Window as W
+    """Two-level maps of builds, one JSON text a file, flattened, filtered, earliest release first, undated last."""
+    out = files.list_builds(build_files(spark, d), 34404, "26100")
+    return places(out, F.asc_nulls_last("first_seen"), "sha256").select("sha256", "version", "first_seen", "place")
 
-    o = view(spark, d, "orders").where("o_orderkey < 3000").withColumn("b", F.col("o_orderkey") % 97)
+
+def build_files(spark: SparkSession, d: str) -> DataFrame:
+    o = view(spark, d, "orders").withColumn("b", F.expr("o_orderkey div 200"))
     kbs = F.map_from_entries(
         F.collect_list(F.struct(F.col("o_orderkey").cast("string"), F.struct(F.struct(F.when(F.col("b") % 10 != 3, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("releaseDate")).alias("updateInfo"))))
     )
     entry = o.groupBy("b").agg(kbs.alias("k")).select(
+        F.expr("b div 20").alias("file"),
         F.concat(F.lit("sha"), "b").alias("sha"),
         F.struct(
             F.struct(
@@ -693,9 +757,25 @@ def source_build_index(spark: SparkSession, d: str) -> DataFrame:
             F.map_from_arrays(F.array(F.lit("w")), F.array("k")).alias("windowsVersions"),
         ).alias("e"),
     )
-    index = entry.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sha", "e")))).alias("j")).select(F.from_json("j", schema.BUILD_INDEX).alias("entries"))
-    out = files.list_builds(index, 34404, "26100")
-    return out.select("sha256", "version", "first_seen", F.row_number().over(W.orderBy(F.asc_nulls_last("first_seen"), "sha256")).alias("place"))
+    texts = entry.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sha", "e")))).alias("j"))
+    return texts.select("file", F.from_json("j", schema.BUILD_INDEX).alias("entries"))
+
+
+@query("""WITH b AS (SELECT o_orderkey // 200 AS b, min(CASE WHEN o_orderkey // 200 % 10 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS first_seen FROM orders GROUP BY ALL),
+r AS (SELECT 'sha' || b AS sha256, first_seen, row_number() OVER (ORDER BY first_seen DESC, 'sha' || b DESC) AS k FROM b WHERE b % 3 <> 1 AND first_seen IS NOT NULL)
+SELECT sha256, first_seen, CASE k WHEN 1 THEN 'new' ELSE 'old' END AS side FROM r WHERE k <= 2""")
+def source_newest_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The two newest dated builds."""
+    return files.newest_pair(files.list_builds(build_files(spark, d), 34404)).select("sha256", "first_seen", "side")
+
+
+@query("""WITH b AS (SELECT DISTINCT o_orderkey // 200 AS b FROM orders), v AS (SELECT 'sha' || b AS sha256, concat('10.0.', CASE WHEN b % 2 = 0 THEN '26100' ELSE '19041' END, '.', b) AS version FROM b WHERE b % 3 <> 1),
+a AS (SELECT unnest(['26100.2', '19041.5', '10.0.19041.11', 'none']) AS text)
+SELECT text, count(sha256) AS matches, CASE WHEN count(sha256) = 1 THEN min(sha256) END AS sha256 FROM a LEFT JOIN v ON contains(version, text) GROUP BY text""")
+def source_by_version(spark: SparkSession, d: str) -> DataFrame:
+    """Builds by part of their version, where only one has it."""
+    asked = spark.createDataFrame([("26100.2",), ("19041.5",), ("10.0.19041.11",), ("none",)], "text string")
+    return files.by_version(files.list_builds(build_files(spark, d), 34404), asked)
 
 
 @query(ctes("functions", "kb", "edges") + """, c AS (SELECT f.address, f.name FROM functions f WHERE starts_with(name, 'sub_') AND concat('0x', hex(f.address)) NOT IN (SELECT address FROM kb WHERE analyzed))
@@ -720,4 +800,133 @@ def plan_budget(spark: SparkSession, d: str) -> DataFrame:
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """The stream operator, run over the log as a whole."""
     log = view(spark, d, "events").select("ts", F.col("event_type").alias("status"))
-    return log.groupBy(F.window("ts", "1 hour"), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "status", "n")
+    return audit.windowed_counts(log).select(F.col("window.start").alias("hour"), "status", "n")
+
+
+@query(NODES + """, t AS (SELECT *, row_number() OVER (ORDER BY total DESC, address) AS place FROM scored), f AS (SELECT * FROM t WHERE place <= 40)
+SELECT place, f.address, concat('  0x', rpad(hex(f.address), 12, ' '), ' ', rpad(coalesce(nullif(k.new_name, ''), k.old_name, f.name)[1:34], 34, ' '), ' ', printf('%5.1f', total), '  callers=',
+  rpad(CAST(caller_count AS VARCHAR), 5, ' '), ' bb=', rpad(CAST(basic_block_count AS VARCHAR), 4, ' '), ' ', concat_ws(' ', CASE WHEN input_reachable THEN 'INPUT' END, CASE WHEN len(sinks) > 0 THEN concat('SINK:', array_to_string(sinks[1:3], ',')) END),
+  CASE WHEN k.security_relevant THEN ' [SEC]' ELSE '' END, CASE WHEN trim(coalesce(k.summary, '')) <> '' THEN concat(chr(10), repeat(' ', 17), trim(k.summary)) ELSE '' END) AS line
+FROM f LEFT JOIN kb k ON k.address = concat('0x', hex(f.address))""")
+def view_list(spark: SparkSession, d: str) -> DataFrame:
+    """The best-scored functions as lines, under the knowledge base's names."""
+    nodes, _, s = scores(spark, d)
+    best = places(score.top(s, 60).select("address", "total"), F.desc("total"), "address")
+    return views.listed(nodes, view(spark, d, "kb"), s, best)
+
+
+@query(NODES + """, hits AS (SELECT address, name, CASE WHEN contains(lower(name), 'ing') THEN 'name'
+  WHEN len(list_filter(string_refs, lambda s: contains(lower(s), 'ing'))) > 0 THEN 'string'
+  WHEN len(list_filter(import_refs, lambda s: contains(lower(s), 'ing'))) > 0 THEN 'import' END AS kind FROM nodes),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY address) AS k FROM hits WHERE kind IS NOT NULL)
+SELECT kind, address, name, count(*) OVER () AS total FROM r WHERE k <= 40""")
+def view_find(spark: SparkSession, d: str) -> DataFrame:
+    """Matches by kind with their number."""
+    return views.found(base_nodes(spark, d)[0], "ing")
+
+
+@query(NODES + """, c AS (SELECT * FROM nodes WHERE starts_with(name, 'main_')), sh AS (SELECT f.address, coalesce(nullif(k.new_name, ''), k.old_name, f.name) AS shown FROM functions f LEFT JOIN kb k ON k.address = concat('0x', hex(f.address)))
+SELECT c.address, sh.shown AS shown_name, c.size_bytes, c.basic_block_count, c.caller_count, c.input_reachable, c.sinks AS dangerous_sink_calls, c.import_refs[1:10] AS imports,
+  list_transform(c.string_refs[1:8], lambda s: s[1:70]) AS strings, k.status, k.summary, coalesce(k.security_relevant, false) AS security_relevant,
+  (SELECT count(*) FROM edges e WHERE e.callee = c.address) AS n_callers,
+  coalesce((SELECT list(s.shown ORDER BY e.caller)[1:15] FROM edges e JOIN sh s ON s.address = e.caller WHERE e.callee = c.address), []) AS callers,
+  (SELECT count(*) FROM edges e WHERE e.caller = c.address) AS n_callees,
+  coalesce((SELECT list(s.shown ORDER BY e.callee)[1:15] FROM edges e JOIN sh s ON s.address = e.callee WHERE e.caller = c.address), []) AS callees
+FROM c JOIN sh USING (address) LEFT JOIN kb k ON k.address = concat('0x', hex(c.address))""")
+def view_explore(spark: SparkSession, d: str) -> DataFrame:
+    """A function with its neighbours and what is known of it."""
+    nodes, calls = base_nodes(spark, d)
+    chosen = nodes.where("startswith(name, 'main_')").select("address")
+    return views.explore(nodes, calls, view(spark, d, "kb"), chosen)
+
+
+@query(ctes("kb") + """, r AS (SELECT *, row_number() OVER (ORDER BY coalesce(confidence, 0) DESC, address) AS k FROM kb WHERE analyzed)
+SELECT address, concat('  #', lpad(CAST(k AS VARCHAR), 3, ' '), '  ', rpad(address, 14, ' '), ' ', rpad(coalesce(nullif(new_name, ''), nullif(old_name, ''), '?'), 40, ' '), ' conf=', printf('%.2f', coalesce(confidence, 0)),
+  CASE WHEN security_relevant THEN ' [SECURITY]' ELSE '' END, CASE WHEN coalesce(summary, '') <> '' THEN concat(chr(10), repeat(' ', 9), summary) ELSE '' END) AS line FROM r WHERE k <= 30""")
+def view_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Search results as they are shown."""
+    ranked = places(search.by_confidence(view(spark, d, "kb"), 30), F.desc(F.coalesce("confidence", F.lit(0.0))), "address")
+    return ranked.select("address", views.hit_line(F.col("place")).alias("line"))
+
+
+@query(ctes("functions", "kb") + """, pend AS (SELECT *, doc_id AS a FROM kb WHERE status = 'approved' AND NOT coalesce(applied, false) AND coalesce(new_name, '') <> '' AND coalesce(confidence, 0) >= 0.6),
+t AS (SELECT p.*, f.name AS current, CASE WHEN f.name IS NULL THEN 'error' WHEN f.name = p.new_name THEN 'same'
+  WHEN NOT (regexp_matches(f.name, '^(sub_|j_|nullsub_|locret_|loc_|maybe_|unknown_libname)') OR coalesce(applied_name = f.name, false)) THEN 'skip' ELSE 'apply' END AS action FROM pend p LEFT JOIN functions f ON f.address = p.a)
+SELECT count_if(action IN ('apply', 'same')) AS applied, count_if(action = 'skip') AS skipped, count_if(action = 'error') AS errors, 0 AS renamed_in_dry_run FROM t""")
+def decide_apply_all(spark: SparkSession, d: str) -> DataFrame:
+    """Approved names against those shown now: counts, and a dry run that changes nothing."""
+    rows, live = view(spark, d, "kb"), view(spark, d, "functions").select("address", "name")
+    wet, dry = apply.apply(rows, live, CONFIG), apply.apply(rows, live, CONFIG, dry_run=True)
+    changed = dry["names"].join(live.withColumnRenamed("name", "was"), "address").agg(F.count_if(F.col("name") != F.col("was")).cast("int").alias("renamed_in_dry_run"))
+    return wet["counts"].join(F.broadcast(changed))
+
+
+@query(ctes("kb", "edges") + """, e AS (SELECT concat('0x', hex(caller)) AS caller, concat('0x', hex(callee)) AS callee FROM edges),
+c AS (SELECT * FROM kb WHERE analyzed AND NOT refined AND status = 'approved' AND (confidence IS NULL OR confidence < 0.7 OR starts_with(new_name, 'wrapper_'))),
+o AS (SELECT c.address, CASE WHEN NOT EXISTS (SELECT 1 FROM e JOIN kb k ON k.address = e.caller WHERE e.callee = c.address AND k.analyzed AND k.summary IS NOT NULL) THEN 'no analyzed caller'
+  WHEN length(c.address) % 3 = 0 THEN 'error' WHEN risk = 'high' THEN 'updated' ELSE 'no change' END AS outcome FROM c)
+SELECT k.address, o.outcome, CASE WHEN o.outcome = 'updated' THEN 'better_name' ELSE k.new_name END AS new_name, CASE WHEN o.outcome IS NULL OR o.outcome = 'error' THEN k.refined ELSE true END AS refined,
+  CASE WHEN o.outcome = 'updated' THEN 0.95 ELSE k.confidence END AS confidence FROM kb k LEFT JOIN o USING (address)""")
+def refine_pass(spark: SparkSession, d: str) -> DataFrame:
+    """A pass over uncertain rows with a stand-in for the model: some calls fail, some change nothing."""
+    rows, e = view(spark, d, "kb"), view(spark, d, "edges")
+    keyed = e.select(text.hex_address(F.col("caller")).alias("caller"), text.hex_address(F.col("callee")).alias("callee"))
+    facts = rows.select("address").limit(0).selectExpr(
+        "address", "'' AS live_name", "false AS trivial", "false AS return_blind", "CAST(array() AS array<string>) AS dangerous_sink_calls", "false AS input_reachable", "CAST(map() AS map<string,string>) AS call_sites"
+    )
+    high = rows.where("risk = 'high'").select("address", F.lit(True).alias("high"))
+
+    def ask(requests: DataFrame) -> DataFrame:
+        better = F.lit('{"changed": true, "suggested_name": "better_name", "confidence": 0.95}')
+        reply = F.when(F.length("address") % 3 == 0, None).when(F.col("high"), better).otherwise('{"changed": false}')
+        return requests.join(high, "address", "left").select("address", reply.alias("reply"))
+
+    after, outcomes = refine.refine(rows, keyed, facts, ask, CONFIG)
+    return after.join(outcomes, "address", "left").select("address", "outcome", "new_name", "refined", "confidence")
+
+
+@query("""WITH p AS (SELECT doc_id AS id, length(text) >= 3000 AS big, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL)
+SELECT id, CASE WHEN k = 4 THEN 0 WHEN NOT big OR k = 3 THEN 1 WHEN k = 2 THEN 3 ELSE 2 END AS samples, big AND k NOT IN (3, 4) AS checked, CASE WHEN big AND k NOT IN (3, 4) THEN k <> 2 END AS agreed,
+  big AND k = 2 AS flagged, CASE WHEN k = 4 THEN NULL WHEN big AND k = 2 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN k = 4 OR (k = 3 AND big) THEN 'network' END AS error FROM p""")
+def diff_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Large prompts are asked twice; drafts that disagree are reconciled; failures leave what there is."""
+    docs = view(spark, d, "documents").where("text IS NOT NULL")
+    empty = F.array().cast("array<struct<name:string,relation:string,summary:string>>")
+    chars = F.length(F.concat(F.lit("Function: "), F.lit("f"), F.lit("\n"), F.lit("\n=== OLD (pre-patch) ===\n"), F.lit("\n\n=== PATCHED (post-patch) ===\n"), F.lit("\n\nWhat differs in logic, if anything?\n")))
+    fixed = spark.range(1).select(chars).first()[0]
+    c = settings.merged(CONFIG, {"diff": {"self_consistency_min_prompt_chars": 3000 + fixed}})
+    pairs = docs.select(F.col("doc_id").alias("id"), F.lit("f").alias("name"), F.col("text").alias("old_code"), F.lit("").alias("new_code"), empty.alias("related"))
+    low, high = '{"differences": [{"summary": "s", "risk": "low"}]}', '{"differences": [{"summary": "s", "risk": "high"}]}'
+
+    def ask(r: DataFrame) -> DataFrame:
+        k = F.col("id") % 5
+        bad = (k == 4) | ((k == 3) & (F.col("sample") == 2))
+        reply = F.when(bad, None).when((k == 2) & (F.col("sample") == 2), high).otherwise(low)
+        return r.select("id", reply.alias("reply"), F.when(bad, "network").alias("error"))
+
+    third = lambda r: r.select("id", F.lit('{"differences": [{"summary": "s", "risk": "medium"}]}').alias("reply"), F.lit(None).cast("string").alias("error"))
+    out = diff.compare(pairs, ask, third, c)
+    return out.select("id", "samples", "checked", "agreed", "flagged", F.col("verdict.risk").alias("risk"), "error")
+
+
+@query("""WITH b AS (SELECT doc_id AS id, length(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT *, CASE WHEN floor(n / 2.86) + 2048 <= 8192 THEN 8192 WHEN floor(n / 2.86) + 2048 <= 16384 THEN 16384 WHEN floor(n / 2.86) + 2048 <= 32768 THEN 32768 WHEN floor(n / 2.86) + 2048 <= 65536 THEN 65536 ELSE 131072 END AS ctx FROM b)
+SELECT id, CASE WHEN id % 3 = 1 OR (id % 3 = 0 AND n > 50000) THEN NULL ELSE '{}' END AS reply, CASE WHEN id % 3 = 1 THEN 'network' WHEN id % 3 = 0 AND n > 50000 THEN 'LLM response is not valid JSON' END AS error,
+  CASE WHEN id % 3 = 0 AND (ctx = 8192 OR n > 50000) THEN least(ctx * 2, 131072) ELSE ctx END AS num_ctx, n AS prompt_chars FROM c""")
+def payload_call_sized(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that are cut off are asked for again at the next context size."""
+
+    def call(q: DataFrame) -> DataFrame:
+        cut = (F.col("id") % 3 == 0) & ((F.col("num_ctx") == 8192) | (F.length("prompt") > 50000))
+        content = F.when(F.col("id") % 3 == 1, None).when(cut, "{").otherwise("{}")
+        return q.select("id", content.alias("content"), F.when(F.col("id") % 3 == 1, "network").alias("error"))
+
+    return payload.call_sized(view(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("prompt")), call)
+
+
+@query("""SELECT p_name AS name, true AS changed FROM part ORDER BY CASE WHEN p_partkey % 2 = 0 THEN p_size / 1000 ELSE p_size END DESC, p_name DESC LIMIT 1""")
+def payload_resolve_model(spark: SparkSession, d: str) -> DataFrame:
+    """The largest model there is, where the wanted one is not."""
+    size = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "M").otherwise("b"))
+    models = view(spark, d, "part").select(F.col("p_name").alias("name"), size.alias("parameter_size"), F.lit(0).alias("size"))
+    return payload.resolve_model(models, "\u0001none")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -38,10 +39,11 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 def load_log(spark: SparkSession, path: str, ddl: str = schema.RESPONSES) -> DataFrame:
     """Records of a JSON-lines log; absent is empty, and broken lines are left out."""
     try:
-        rows = spark.read.schema(ddl + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+        lines = spark.read.text(path)
     except AnalysisException:
         return spark.createDataFrame([], ddl)
-    return rows.where(F.col("_broken").isNull()).drop("_broken")
+    record = F.from_json("value", ddl + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return lines.select(record.alias("r")).where("r IS NOT NULL AND r._broken IS NULL").select("r.*").drop("_broken")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -92,3 +94,112 @@ def list_builds(index: DataFrame, machine: int, branch: str | None = None) -> Da
         info["size"].alias("size"),
         F.array_min(dates).alias("first_seen"),
     ).orderBy(F.asc_nulls_last("first_seen"), "sha256")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table at path, oldest first."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Writes the next version of a table. Readers see it once it is complete, and a writer
+    that dies leaves the versions before it as they were."""
+    spark = df.sparkSession
+    n = max(versions(spark, path), default=0) + 1
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v={n}")
+    return n
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest complete version, or the one asked for; null without any."""
+    known = versions(spark, path)
+    n = version if version is not None else (known[-1] if known else None)
+    return None if n not in known else spark.read.parquet(f"{path}/v={n}")
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Both tables of a graph, the nodes last: a graph is there once its nodes are."""
+    write_version(edges, f"{path}/edges")
+    write_version(nodes, f"{path}/nodes")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    nodes, edges = read_version(spark, f"{path}/nodes"), read_version(spark, f"{path}/edges")
+    return None if nodes is None or edges is None else (nodes, edges)
+
+
+META = "key string, value string"
+
+
+def get_meta(meta: DataFrame, key: str, default: str | None = None) -> str | None:
+    found = meta.where(F.col("key") == key).select("value").first()
+    return default if found is None else found["value"]
+
+
+def set_meta(meta: DataFrame, changes: DataFrame) -> DataFrame:
+    """meta (key, value) after changes (key, value), one a key."""
+    return meta.join(changes, "key", "left_anti").select("key", "value").unionByName(changes.select("key", F.col("value").cast("string").alias("value")))
+
+
+def seconds_per_call(meta: DataFrame) -> float | None:
+    """The measured time of a call; null where none was, or where it makes no sense."""
+    try:
+        v = float(get_meta(meta, "seconds_per_call", ""))
+    except ValueError:
+        return None
+    return v if v > 0 else None
+
+
+def save_index(vectors: DataFrame, signature: DataFrame, path: str) -> None:
+    """A vector index (address, embedding) and the signature (one row) of what it was made
+    of, the signature last: an index without one counts as absent."""
+    n = write_version(vectors, f"{path}/vectors")
+    write_version(signature.select("signature", F.lit(n).alias("vectors")), f"{path}/signature")
+
+
+def stored_signature(spark: SparkSession, path: str) -> str | None:
+    found = read_version(spark, f"{path}/signature")
+    return None if found is None else found.first()["signature"]
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame | None:
+    found = read_version(spark, f"{path}/signature")
+    return None if found is None else read_version(spark, f"{path}/vectors", found.first()["vectors"])
+
+
+def index_size(spark: SparkSession, path: str) -> int:
+    found = load_index(spark, path)
+    return 0 if found is None else found.count()
+
+
+def read_build_index(spark: SparkSession, path: str) -> DataFrame:
+    """Build indexes, one JSON text a file, compressed or not: (path, entries)."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return raw.select("path", F.from_json("value", schema.BUILD_INDEX).alias("entries"))
+
+
+def newest_pair(builds: DataFrame, group: str | None = None) -> DataFrame:
+    """The two newest dated builds (of each group): columns of builds, and side: new, old."""
+    keys = [group] if group else []
+    newest = F.row_number().over(W.partitionBy(*keys, F.lit(0)).orderBy(F.desc("first_seen"), F.desc("sha256")))
+    two = builds.where("first_seen IS NOT NULL").withColumn("__n", newest).where("__n <= 2")
+    return two.withColumn("side", F.when(F.col("__n") == 1, "new").otherwise("old")).drop("__n")
+
+
+def by_version(builds: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (text: part of a version) -> (text, sha256, matches): the only build whose
+    version contains it; null where none or several do. asked is a few typed texts."""
+    hits = builds.join(F.broadcast(asked), builds["version"].contains(asked["text"]))
+    one = hits.groupBy("text").agg(F.count("*").alias("matches"), F.min("sha256").alias("sha256"))
+    full = asked.join(one, "text", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return full.select("text", F.when(F.col("matches") == 1, F.col("sha256")).alias("sha256"), "matches")
