@@ -7,10 +7,15 @@ of documents, further ones included.
 1. quality: documents that fail the rules, or whose host does, go.
 2. language: documents without a recognisable language (``und``) go.
 3. lines: lines that several documents share stay in the first of them alone; text
-   and n_chars change, no row goes.
+   and n_chars change, no row goes. A document all of whose lines stand in earlier ones
+   is empty from here on.
 4. near_duplicates: of each group of near duplicates (five-word shingles, similarity
-   0.8 or more) the first stays.
-5. packing: token sequences of at most 4096, one row per piece.
+   0.8 or more) the first stays, and of rows that repeat doc_id and text one. Texts are
+   compared as the stage before left them; empty ones link with nothing and stay.
+5. packing: token sequences of at most 4096, one row per piece; an empty document is its
+   closing id.
+
+Rows without doc_id pass through all stages; they are near duplicates of nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, near_dedup, packing, quality_rules
-from tessera.llm.common import settle, small_batches, table
+from tessera.llm.common import small_batches, table
+from tessera.plans.lineage import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

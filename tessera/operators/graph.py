@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import settle
+from ..plans.lineage import counted, settle
 from ..plans.ranks import places
 from .scan import in_call_order
 
 # Names that mark an entry point.
 ENTRY_NAMES = "main wmain winmain wwinmain dllmain start tlscallback dllentrypoint entry".split()
 
+#: Rows of a frontier that are sent to all tasks; larger ones meet the edges in a shuffle.
+SENT_ROWS = 200_000
+
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
@@ -21,20 +24,19 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """seeds (address) -> (address, hop): steps along calls from the nearest seed."""
-    seen = settle(seeds.select("address").distinct().withColumn("hop", F.lit(0)), "seen")
-    frontier, hop = seen, 0
-    while depth is None or hop < depth:
+    frontier, n = counted(seeds.select("address").distinct().withColumn("hop", F.lit(0)), "seen")
+    seen, hop = frontier, 0
+    while n and (depth is None or hop < depth):
         hop += 1
+        near = F.broadcast(frontier) if n <= SENT_ROWS else frontier
         step = (
-            frontier.join(edges, frontier["address"] == edges["caller"])
+            edges.join(near, near["address"] == edges["caller"])
             .select(F.col("callee").alias("address"))
             .distinct()
             .join(seen.select("address"), "address", "left_anti")
             .withColumn("hop", F.lit(hop))
         )
-        frontier = settle(step, "frontier")
-        if frontier.isEmpty():
-            break
+        frontier, n = counted(step, "frontier")
         seen = seen.union(frontier)
         if hop % 8 == 0:
             seen = settle(seen, "seen")
@@ -89,8 +91,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 24) ->
             .join(seen.select("source", "address"), ["source", "address"], "left_anti")
             .select("source", "address", F.lit(hop).alias("hop"), "best.calls", F.concat("best.path", F.array("address")).alias("path"))
         )
-        frontier = settle(step, "paths")
-        if frontier.isEmpty():
+        frontier, n = counted(step, "paths")
+        if not n:
             break
         seen = seen.union(frontier)
     return seen.drop("calls")

@@ -10,31 +10,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import settle
+from ..plans.lineage import counted, settle
 from ..plans.ranks import places
+from .graph import SENT_ROWS
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(address, level): 0 for leaves, else one more than the highest callee; null for
     nodes in or above a cycle. Each round places nodes all of whose callees are placed."""
-    left = settle(nodes.select("address"), "left")
-    calls = settle(edges.join(left.withColumnRenamed("address", "callee"), "callee", "left_semi").select("caller", "callee"), "calls")
-    done = None
-    level = 0
-    while True:
-        ready = settle(
-            left.join(calls.select(F.col("caller").alias("address")), "address", "left_anti").withColumn("level", F.lit(level)),
-            "ready",
-        )
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.union(ready)
-        gone = ready.select("address")
-        left = settle(left.join(gone, "address", "left_anti"), "left")
-        calls = settle(calls.join(gone.withColumnRenamed("address", "callee"), "callee", "left_anti"), "calls")
+    known = nodes.select("address")
+    calls = settle(edges.join(known.withColumnRenamed("address", "callee"), "callee", "left_semi").select("caller", "callee"), "calls")
+    waits = calls.groupBy(F.col("caller").alias("address")).agg(F.count("*").alias("open"))
+    ready = F.col("open") == 0
+    # Rows that wait, with how many calls are open, and those that have just become ready.
+    state, n = counted(known.join(waits, "address", "left").select("address", F.coalesce("open", F.lit(0)).alias("open")), "state", ready)
+    done, level = state.where(ready).select("address", F.lit(0).alias("level")), 0
+    while n:
         level += 1
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.union(rest)
+        now = state.where(ready).select(F.col("address").alias("callee"))
+        closed = calls.join(F.broadcast(now) if n <= SENT_ROWS else now, "callee").groupBy(F.col("caller").alias("address")).agg(F.count("*").alias("closed"))
+        left = state.where(~ready).join(closed, "address", "left")
+        state, n = counted(left.select("address", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")), "state", ready)
+        done = done.union(state.where(ready).select("address", F.lit(level).alias("level")))
+        if level % 8 == 0:
+            done = settle(done, "done")
+    return done.union(state.where(~ready).select("address", F.lit(None).cast("int").alias("level")))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,13 +56,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         colour = settle(left.select("address", F.col("address").alias("colour")), "colour")
         while True:
             pushed = calls.join(colour.withColumnRenamed("address", "caller"), "caller").groupBy(F.col("callee").alias("address")).agg(F.min("colour").alias("c"))
-            new = settle(
-                colour.join(pushed, "address", "left").select("address", F.least("colour", F.coalesce("c", "colour")).alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("moved")),
-                "colour",
-            )
-            stable = new.where("moved").isEmpty()
+            moved = F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("moved")
+            new = colour.join(pushed, "address", "left").select("address", F.least("colour", F.coalesce("c", "colour")).alias("colour"), moved)
+            new, n = counted(new, "colour", F.col("moved"))
             colour = new.drop("moved")
-            if stable:
+            if not n:
                 break
         same = (
             calls.join(colour.toDF("caller", "c1"), "caller")
@@ -75,8 +73,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         frontier = member
         while True:
             step = frontier.join(same, frontier["address"] == same["from"]).select(F.col("to").alias("address"), "colour").distinct()
-            frontier = settle(step.join(member.select("address"), "address", "left_anti"), "frontier")
-            if frontier.isEmpty():
+            frontier, n = counted(step.join(member.select("address"), "address", "left_anti"), "frontier")
+            if not n:
                 break
             member = settle(member.union(frontier.select("address", "colour")), "member")
         found = member.select("address", F.col("colour").alias("component"))
