@@ -6,13 +6,14 @@ splits at exactly those six bytes, and ``bytes.lower()`` lower-cases A-Z only.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..plans.lineage import settle
+
+__all__ = ["BLANKS", "learns_from", "settle", "small_batches", "table"]
+
 #: The six bytes that separate words and are stripped from lines (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -33,26 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only if none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and (java := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        folder = java.get()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back: this cuts the
-    lineage, survives the loss of executors, and later reads prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}/{what}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def learns_from(doc_id: Column, modulus: int, held_out: int) -> Column:
     """False for the held-out fold, which crc32 of doc_id as text decides."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus != held_out, F.lit(True))

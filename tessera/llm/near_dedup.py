@@ -386,14 +386,22 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that ``near_duplicates`` keeps, with their own columns."""
-    gone = settle(
-        near_duplicates(docs, key=key, text=text, **options)
-        .where(~F.col("kept"))
-        .select(F.col("doc_id").alias("__tessera_gone"))
-        .distinct(),
-        "gone",
-    )
+    """The rows of docs that ``near_duplicates`` keeps, with their own columns; of rows that
+    repeat both doc_id and text, one."""
+    found = settle(near_duplicates(docs, key=key, text=text, **options).select("doc_id", "kept"), "found")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__tessera_gone")).distinct()
     if gone.count() <= SENT_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[key] == gone["__tessera_gone"], "left_anti")
+    rows = docs.join(gone, docs[key] == gone["__tessera_gone"], "left_anti")
+    twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    twice = settle(twice.select(F.col("doc_id").alias("__tessera_twice")), "twice")
+    if twice.isEmpty():
+        return rows
+    if twice.count() <= SENT_IDS:
+        twice = F.broadcast(twice)
+    repeated = docs[key] == twice["__tessera_twice"]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    same = [F.col(key), F.xxhash64(F.col(text)), F.length(F.col(text))]
+    one = rows.join(twice, repeated, "left_semi").select(whole, F.hash(*same).alias("__tessera_order"), *(c.alias(f"__tessera_{i}") for i, c in enumerate(same)))
+    one = one.groupBy("__tessera_0", "__tessera_1", "__tessera_2").agg(F.min_by("row", "__tessera_order").alias("row")).select("row.*")
+    return rows.join(twice, repeated, "left_anti").unionByName(one)

@@ -624,15 +624,37 @@ def test_html_templates_as_deduced_one_by_one(spark):
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
-    rows = [r for r in corpus if r[0] is not None]
+    body = "\n".join(" ".join(f"w{i}x{j}" for j in range(8)) for i in range(20))
+    twin = " ".join(f"word{i}" for i in range(80))
+    rows = [*corpus, (200, body, "en", "s1"), (201, "\n".join(reversed(body.split("\n"))), "en", "s1"), (202, twin, "en", "s1"), (202, twin, "en", "s1"), (203, twin + " more", "en", "s1"), (None, twin, "en", None)]
     df = docs_of(spark, rows)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, df, "")
         assert out.columns == df.columns
-        out.write.mode("overwrite").parquet(str(tmp_path / "x"))
-        df = spark.createDataFrame(out.collect(), out.schema)
-    assert 0 < df.count() < len(rows)
-    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() > 0
+        seen[name] = out.collect()
+        df = spark.createDataFrame(seen[name], out.schema)
+    ids = {k: Counter(r.doc_id for r in v) for k, v in seen.items()}
+    assert 0 < len(seen["near_duplicates"]) < len(rows)
+    assert ids["quality"][200] == ids["quality"][201] == 1 and ids["quality"][202] == 2 and not ids["quality"][143]
+    assert ids["quality"][None] == ids["near_duplicates"][None] == 2 and ids["lines"] == ids["language"]
+    empty = {r.doc_id: r.text for r in seen["lines"]}
+    assert empty[201] == "" and empty[200] == body and ids["near_duplicates"][201] == 1
+    assert ids["near_duplicates"][202] == 1 and ids["near_duplicates"][203] == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, "").collect()
+    assert {r.doc_id for r in packed} == set(ids["near_duplicates"]) and [r.length for r in packed if r.doc_id == 201] == [1]
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_a_broken_import_is_not_hidden(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("tessera.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with pytest.raises(ImportError):
+        __spark_entry__._corpus()
