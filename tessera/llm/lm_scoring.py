@@ -3,8 +3,10 @@
 Counts of all tokens are gathered from the whole training fold (combined in each
 task, then by a shuffle). The ``head`` most frequent words, a fixed number, travel
 to every task and are all assigned to classes by exchange clustering over the counts of
-their bigrams: a round looks at each word in turn and moves it to the class that raises the
-likelihood of the class bigrams most. Bigrams stay a distributed table; a round gets from it
+their bigrams: a round looks at each word and moves it to the class that raises the
+likelihood of the class bigrams most, the ``one_by_one`` most frequent words in turn and
+exactly, the others, each of which hardly changes the classes, in batches and to first order.
+Bigrams stay a distributed table; a round gets from it
 what stands before and after each head word by class (head x classes counts, whatever the
 corpus), as of the round's start, as in distributed exchange clustering (Uszkoreit and
 Brants, 2008). Rounds end when one does not raise the likelihood, moves few words, or is the
@@ -42,6 +44,8 @@ N_LENGTHS = len(LENGTH_BOUNDS) + 1
 FLUSH = 300_000
 #: Bytes of the longest word that is sent to all tasks.
 LONGEST = 64
+#: Words that are moved at once.
+BATCH = 4096
 #: Distinct bigrams that a task holds.
 PAIRS = 4_000_000
 
@@ -86,11 +90,13 @@ def likelihood(table: np.ndarray) -> float:
 Contexts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def sweep(cls: np.ndarray, order: np.ndarray, contexts: Contexts, table: np.ndarray, n_classes: int) -> tuple[np.ndarray, int]:
+def sweep(
+    cls: np.ndarray, order: np.ndarray, contexts: Contexts, table: np.ndarray, n_classes: int, one_by_one: int
+) -> tuple[np.ndarray, int]:
     """One round over the words: each goes where the likelihood is highest."""
     before, after, twice = contexts
     cls, table, moved = cls.copy(), table.copy(), 0
-    for w in order.tolist():
+    for w in order[:one_by_one].tolist():
         old, own = int(cls[w]), twice[w]
         right, left = after[w].copy(), before[w].copy()
         right[old] -= own
@@ -115,11 +121,33 @@ def sweep(cls: np.ndarray, order: np.ndarray, contexts: Contexts, table: np.ndar
         table[:, new] += left
         table[new, new] += own
         moved += new != old
+    rest = order[one_by_one:]
+    for at in range(0, len(rest), BATCH):
+        some = rest[at : at + BATCH]
+        k = np.arange(len(some))
+        level = 0.5 * len(table)
+        table = np.maximum(table, 0)
+        follows = np.log(table[:n_classes] + 0.5) - np.log(table.sum(1)[:n_classes, None] + level)
+        precedes = np.log(table[:, :n_classes].T + 0.5) - np.log(table.sum(0)[:n_classes, None] + level)
+        gain = after[some] @ follows.T + before[some] @ precedes.T
+        old, new = cls[some], gain.argmax(1)
+        new = np.where(gain[k, new] > gain[k, old] + 1e-9, new, old)
+        change = np.zeros((len(table), len(some)))
+        np.add.at(change, (new, k), 1)
+        np.add.at(change, (old, k), -1)
+        table += change @ after[some] + (change @ before[some]).T
+        cls[some] = new
+        moved += int((new != old).sum())
     return cls, moved
 
 
 def exchange(
-    look: Callable[[np.ndarray], tuple[Contexts, np.ndarray]], frequency: np.ndarray, n_classes: int, rounds: int, few: float = 0.005
+    look: Callable[[np.ndarray], tuple[Contexts, np.ndarray]],
+    frequency: np.ndarray,
+    n_classes: int,
+    rounds: int,
+    few: float = 0.005,
+    one_by_one: int = 2000,
 ) -> np.ndarray:
     """Classes of the head words. look: classes -> contexts and class bigrams, exact."""
     cls = np.arange(len(frequency)) % n_classes
@@ -127,7 +155,7 @@ def exchange(
     contexts, table = look(cls)
     best = likelihood(table)
     for _ in range(rounds):
-        new, moved = sweep(cls, order, contexts, table, n_classes)
+        new, moved = sweep(cls, order, contexts, table, n_classes, one_by_one)
         if not moved:
             break
         contexts, table = look(new)
