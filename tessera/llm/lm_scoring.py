@@ -98,7 +98,7 @@ def sweep(
     cls, table, moved = cls.copy(), table.copy(), 0
     for w in order[:one_by_one].tolist():
         old, own = int(cls[w]), twice[w]
-        right, left = after[w].copy(), before[w].copy()
+        right, left = after[w].astype(float), before[w].astype(float)
         right[old] -= own
         left[old] -= own
         table[old, :] -= right
@@ -263,8 +263,8 @@ def learn(train: DataFrame, head: int, n_classes: int, rounds: int) -> tuple[Cla
     n_classes = max(1, min(n_classes, words))
     width = n_classes + 1 + N_LENGTHS
     twice = np.zeros(words)
-    for r in pairs.where((F.col("a") == F.col("b")) & (F.col("a") < words)).select("a", "n").toPandas().itertuples():
-        twice[r.a] = r.n
+    own = pairs.where((F.col("a") == F.col("b")) & (F.col("a") < words)).select("a", "n").toArrow()
+    twice[own["a"].to_numpy()] = own["n"].to_numpy()
 
     def look(cls: np.ndarray) -> tuple[Contexts, np.ndarray]:
         """At most 2 * (head + 5) * (n_classes + 5) counts, whatever the input."""
@@ -272,13 +272,17 @@ def learn(train: DataFrame, head: int, n_classes: int, rounds: int) -> tuple[Cla
         names = spark.createDataFrame(pa.table({"s": pa.array(np.arange(len(own), dtype=np.int32)), "c": pa.array(own.astype(np.int32))}))
         sides = []
         for at, of in (("a", "b"), ("b", "a")):
-            seen = pairs.join(F.broadcast(names), pairs[of] == names["s"]).groupBy(at, "c").agg(F.sum("n").alias("n")).toPandas()
-            x = np.zeros((model.n_symbols, width))
-            x[seen[at].to_numpy(np.int64), seen["c"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
-            sides.append(x)
+            met = pairs.join(F.broadcast(names), pairs[of] == names["s"]).groupBy(at, "c").agg(F.sum("n").alias("n"))
+            cell = (F.col(at).cast("long") * width + F.col("c")).alias("cell")
+            seen = met.select(cell, "n").toArrow()
+            x = np.zeros(model.n_symbols * width, np.float32)
+            x[seen["cell"].to_numpy()] = seen["n"].to_numpy()
+            del seen
+            sides.append(x.reshape(-1, width))
         after, before = sides
         table = np.zeros((width, width))
-        np.add.at(table, own, after)
+        for c in range(width):
+            table[c] = after[own == c].sum(0, dtype=float)
         return (before[:words], after[:words], twice), table
 
     frequency = np.fromiter(lookup.values(), float, words)
