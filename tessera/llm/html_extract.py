@@ -6,12 +6,15 @@ host with the same occurrence vector (how often each occurs on each page) form a
 equivalence class; vectors are compared by a sum of hashes of (page, count), so they
 are aggregated like any sum, combined before the shuffle, and a host with a third of
 all pages costs no task more than another. Classes on at least half of a host's
-pages, with an element, are valid. Text blocks of valid classes are the template's
-constant text, inside the article as well; they and chrome (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) are dropped. The slot that holds the
-article is chosen among the elements of valid classes by its name or by its text, not by
-the nesting of the classes; all else in it is extracted. A page that lacks its host's
-article slot is its own template; a page with constant text alone keeps it.
+pages, with an element, are valid. Their elements, each within the nearest one around it,
+are the template; what stands in an element and not in one within it is the element's slot.
+Text blocks of valid classes are the template's constant text; a slot without any other
+text is constant itself. The template of a page is walked from the element that holds the
+article (told by its name, else the innermost that holds all text): the text of slots is
+extracted, constant text and slots are not, inside the article as well, nor is chrome
+(menus, headers, footers, sidebars, notices, adverts, forms, comments), by which slots are
+labelled. A page that lacks its host's article element is its own template; a page with
+constant text alone keeps it.
 
 Defined results: null or empty html gives an empty text; pages without a url form a
 host of their own; repeated rows count each; a comment that never closes is read to the end
@@ -240,23 +243,61 @@ def article_slots(elements: dict[str, tuple[float, bool]]) -> list[str]:
     return [at] if at else []
 
 
+def around(path: str, elements) -> str:
+    """The nearest of elements at or around a path; empty if there is none."""
+    while path and path not in elements:
+        path = path[: path.rindex("/")]
+    return path
+
+
 def deduce(tokens: list[dict]) -> str:
-    """The template of a host as JSON: its article slots and constant text.
+    """The template of a host as JSON: the article's elements, those of them whose slot
+    varies, and constant text.
 
-    tokens: path, block (hash of a text block, or null), vector, pages, total, mass, place."""
+    tokens: path, block (hash of a text block, or null), vector, pages, total, mass."""
     classes: dict[int, list[dict]] = defaultdict(list)
     for t in tokens:
         classes[t["vector"]].append(t)
-    valid = [m for m in classes.values() if any(t["block"] is None for t in m)]
-    found = {t["path"]: (t["mass"], t["total"] == t["pages"]) for m in valid for t in m if t["block"] is None}
-    constant = [[t["path"], t["block"]] for m in valid for t in m if t["block"] is not None]
-    return json.dumps({"slots": article_slots(found), "constant": constant})
+    valid = [t for m in classes.values() if any(t["block"] is None for t in m) for t in m]
+    elements = {t["path"]: (t["mass"], t["total"] == t["pages"]) for t in valid if t["block"] is None}
+    constant = [t for t in valid if t["block"] is not None]
+    # Varying text of an element's slot: all in it, less constant text, less what nests in it.
+    varying = {p: m for p, (m, _) in elements.items()}
+    for t in constant:
+        at = t["path"]
+        while at := around(at, elements):
+            varying[at] -= t["mass"]
+            at = at[: at.rindex("/")]
+    own = dict(varying)
+    for p in elements:
+        if parent := around(p[: p.rindex("/")], elements):
+            own[parent] -= varying[p]
+    roots = article_slots(elements)
+    inside = sorted(p for p in elements if within(p, roots))
+    return json.dumps(
+        {
+            "roots": roots,
+            "elements": inside,
+            "slots": [p for p in inside if own[p] > 0],
+            "constant": [[t["path"], t["block"]] for t in constant],
+        }
+    )
+
+
+class Template:
+    def __init__(self, x: dict):
+        self.roots = tuple(x["roots"])
+        self.elements, self.slots = frozenset(x["elements"]), frozenset(x["slots"])
+        self.constant = frozenset((p, b) for p, b in x["constant"])
+
+    def extracts(self, path: str, text: str) -> bool:
+        varies = around(path, self.elements) in self.slots
+        return varies and (path, crc32(text.encode("utf-8", "replace"))) not in self.constant
 
 
 @functools.lru_cache(maxsize=4096)
-def template(text: str) -> tuple[tuple[str, ...], frozenset[tuple[str, int]]]:
-    x = json.loads(text)
-    return tuple(x["slots"]), frozenset((p, b) for p, b in x["constant"])
+def template(text: str) -> Template:
+    return Template(json.loads(text))
 
 
 def within(path: str, slots: tuple[str, ...] | list[str]) -> bool:
@@ -265,18 +306,17 @@ def within(path: str, slots: tuple[str, ...] | list[str]) -> bool:
 
 def main_text(html: str, tree: str | None) -> str:
     page = Page(html)
-    slots, constant = template(tree) if tree else ((), frozenset())
-    if not any(s in page.elements for s in slots):
-        mass = page.mass()
-        slots = article_slots({p: (mass[p], c == 1) for p, (c, _) in page.elements.items()})
-        if not slots and page.blocks:
-            slots = [""]
-    kept = [(path, text) for path, skip, text in page.blocks if not skip and (within(path, slots) or slots == [""])]
-    own = [text for path, text in kept if (path, crc32(text.encode("utf-8", "replace"))) not in constant]
-    return "\n".join(own or [text for _, text in kept])
-
-
-TOKEN = "host string, path string, block long, vector decimal(38,0), pages long, total long, mass long, place long"
+    host = template(tree) if tree else None
+    if host and any(r in page.elements for r in host.roots):
+        kept = [(path, text) for path, skip, text in page.blocks if not skip and within(path, host.roots)]
+        own = [text for path, text in kept if host.extracts(path, text)]
+        return "\n".join(own or [text for _, text in kept])
+    mass = page.mass()
+    roots = article_slots({p: (mass[p], c == 1) for p, (c, _) in page.elements.items()})
+    return "\n".join(text for path, skip, text in page.blocks if not skip and (not roots or within(path, roots)))
+
+
+TOKEN = "host string, path string, block long, vector decimal(38,0), pages long, total long, mass long"
 FLUSH = 200_000
 
 
@@ -285,7 +325,7 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from decimal import Decimal
 
     sums: dict[tuple[str, str, int | None], list[int]] = {}
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in TOKEN.split(", ")]
 
     def out() -> pa.RecordBatch:
@@ -294,20 +334,20 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*rows)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    def add(host: str, path: str, block: int | None, row: int, count: int, mass: int, place: int) -> None:
-        s = sums.setdefault((host, path, block), [0, 0, 0, 0, 0])
-        for i, v in enumerate((hash((row, count)) & (1 << 62) - 1, 1, count, mass, place)):
+    def add(host: str, path: str, block: int | None, row: int, count: int, mass: int) -> None:
+        s = sums.setdefault((host, path, block), [0, 0, 0, 0])
+        for i, v in enumerate((hash((row, count)) & (1 << 62) - 1, 1, count, mass)):
             s[i] += v
 
     for batch in batches:
         for host, row, html in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(html or "")
             mass = page.mass()
-            for path, (count, place) in page.elements.items():
-                add(host, path, None, row, count, mass[path], place)
-            texts = Counter((p, crc32(t.encode("utf-8", "replace"))) for p, skip, t in page.blocks if not skip)
-            for (path, block), count in texts.items():
-                add(host, path, block, row, count, 0, 0)
+            for path, (count, _) in page.elements.items():
+                add(host, path, None, row, count, mass[path])
+            texts = Counter((p, t) for p, skip, t in page.blocks if not skip)
+            for (path, text), count in texts.items():
+                add(host, path, crc32(text.encode("utf-8", "replace")), row, count, len(text) * count)
             if len(sums) > FLUSH:
                 yield out()
     yield out()
@@ -319,7 +359,7 @@ def host_of(url: Column) -> Column:
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """pages (host, row, html) -> (host, template)."""
-    sums = ("vector", "pages", "total", "mass", "place")
+    sums = ("vector", "pages", "total", "mass")
     tokens = settle(
         pages.select("host", "row", "html")
         .mapInArrow(page_tokens, TOKEN)
@@ -333,7 +373,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
         tokens.join(sizes, "host")
         .where((F.col("pages") >= 2) & (2 * F.col("pages") >= F.col("n_pages")))
         .groupBy("host")
-        .agg(F.collect_list(F.struct("path", "block", F.xxhash64("vector").alias("vector"), "pages", "total", "mass", "place")).alias("tokens"))
+        .agg(F.collect_list(F.struct("path", "block", F.xxhash64("vector").alias("vector"), "pages", "total", "mass")).alias("tokens"))
     )
 
     def build(tokens: pa.Array) -> pa.Array:

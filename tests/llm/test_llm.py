@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out accuracy."""
 
 import itertools
+import json
 import math
 import random
 import re
@@ -220,6 +221,53 @@ def test_language(spark):
     assert language_id.identify(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_language_end_to_end_as_by_hand(spark):
+    r = random.Random(6)
+    alphabets = {"aa": "abcd", "bb": "cdef", "cc": "efgä"}
+    make = lambda a, n: " ".join("".join(r.choice(a) for _ in range(r.randrange(1, 5))) for _ in range(n))
+    rows = [(i, make(a, r.choice((1, 20, 400))), lang, "s") for i, (lang, a) in enumerate(list(alphabets.items()) * 30)]
+    rows += [(900, None, "aa", "s"), (901, "12 !", "aa", "s"), (902, "abca", None, "s"), (None, "abca", "aa", "s"), (5, rows[5][1], rows[5][2], "s"), (903, "ÄÖ", "cc", "s")]
+    ddl = "doc_id long, text string, lang string, held_out string, score string, p string, l string, o string, t string, b string"
+    docs = spark.createDataFrame([(i, x, lang, *"abcdefg") for i, x, lang, _ in rows], ddl)
+    refs = language_id.learn(docs.where("doc_id IS NOT NULL AND crc32(string(doc_id)) % 3 <> 1"), rows=10, chars=64)
+    assert [k for k, _ in refs] == sorted(alphabets) and all(len(x.split(language_id.BREAK)) <= 10 for _, x in refs)
+
+    def brute(raw, ref):
+        n = 0
+        for at in range(0, len(raw), language_id.SEGMENT):
+            seg, i = raw[at : at + language_id.SEGMENT], 0
+            while i < len(seg):
+                k = 1
+                while i + k < len(seg) and seg[i : i + k + 1] in ref:
+                    k += 1
+                i, n = i + k, n + 1
+        return n
+
+    parser = language_id.CrossParser(refs)
+    for _, x, *_ in rows:
+        raw = language_id.plain(x or "")
+        cost = [brute(raw, ref) * math.log2(len(ref) + 2) / max(1, len(raw)) for _, ref in refs]
+        lang, score = parser.judge([x])[0]
+        if not any(c.isalpha() for c in x or ""):
+            assert (lang, score) == ("und", 0.0)
+        else:
+            best = min(range(3), key=cost.__getitem__)
+            rest = min(c for k, c in enumerate(cost) if k != best)
+            assert lang == refs[best][0] and abs(score - (max(0.0, 1 - cost[best] / rest) if rest > 0 else 0.0)) < 1e-9
+    got = language_id.identify(docs).collect()
+    assert len(got) == len(rows) and all((g.held_out or False) == (g.doc_id is not None and zlib.crc32(str(g.doc_id).encode()) % 3 == 1) for g in got)
+    assert len({(g.lang_pred, g.score) for g in got if g.doc_id == 5}) == 1
+    unlabelled = language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(g.lang_pred, g.score) for g in unlabelled} == {("und", 0.0)}
+
+
+def test_language_samples_all_of_a_text_and_any_number_of_languages(spark):
+    rows = [(i, "a" * 600 + f" b{i} " * 400, f"l{i % 300:03}", "s") for i in range(900)]
+    refs = language_id.learn(docs_of(spark, rows), rows=48, chars=64, total=64 * 300 * 2)
+    assert len(refs) == 300 and max(len(x) for _, x in refs) <= 2 * 65
+    assert sum(b"b" in x for _, x in refs) > 150  # most places lie beyond the beginning
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -459,6 +507,19 @@ def test_sampling(spark, corpus):
     assert got.where("sample = 0").count() == len(corpus)
 
 
+def test_sampling_of_odd_texts(spark):
+    v = sp_sampling.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["x" * 40_000, "漢" * 3000, " ", "  a  ", "\u2581b", "a\x00b", "\t\n", "q"]
+    keys = sp_sampling.mix(np.arange(len(texts), dtype=np.uint64))
+    for t, found in zip(texts, sp_sampling.sample_texts(v, texts, keys, 2)):
+        assert all(v.decode(ids.tolist()) == t.replace("\u2581", " ") for ids, *_ in found)
+    rows = [(None, "one two", "en", "s"), (1, None, "en", "s"), (1, "", "en", "s"), (2, "x" * 40_000, "en", "s"), (2, "x" * 40_000, "en", "s")]
+    df = docs_of(spark, rows).withColumn("ids", F.lit("a")).withColumn("sample", F.lit("b"))
+    got = sp_sampling.sample_segmentations(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sum(r.sample == 0 for r in got) == 5 and all(r.ids == b"" and r.inclusion == 1 for r in got if r.doc_id == 1)
+    assert len({r.ids for r in got if r.doc_id == 2}) == 2
+
+
 def test_sampling_query_returns_segmentations(spark):
     d = "/root/testdata/sf0.001"
     v = sp_sampling.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
@@ -618,6 +679,19 @@ def test_html_templates_as_deduced_one_by_one(spark):
     valid = [m for v, m in classes.items() if 2 * len(v) >= len(rows) and any(t[0] == "element" for t in m)]
     constant = {t for m in valid for t in m if t[0] != "element"}
     assert {t[1] for t in constant} == {"Site", "Written by the team"}
+    # The template nests elements of valid classes; only slots that vary are extracted.
+    elements = {t[1] for m in valid for t in m if t[0] == "element"}
+    tree = html_extract.deduce(
+        [
+            {"path": t[1] if t[0] == "element" else t[0], "block": None if t[0] == "element" else zlib.crc32(t[1].encode()), "vector": n, "pages": len(v), "total": sum(v.values()),
+             "mass": sum(len(x) for i in v for p, skip, x in html_extract.Page(rows[i][2]).blocks if not skip and (html_extract.within(p, [t[1]]) if t[0] == "element" else (p, x) == t))}
+            for n, (v, m) in enumerate((dict(v), m) for v, m in classes.items() if 2 * len(v) >= len(rows))
+            for t in m
+        ]
+    )
+    found = html_extract.Template(json.loads(tree))
+    assert found.roots == ("/html/body/article",) and set(found.elements) == {e for e in elements if "/article" in e}
+    assert set(found.slots) == {"/html/body/article/h1", "/html/body/article/p"}
     for i, _, html in rows:
         blocks = [(p, x) for p, skip, x in html_extract.Page(html).blocks if not skip and "/article" in p]
         assert texts[i] == "\n".join(x for p, x in blocks if (p, x) not in constant)
