@@ -664,7 +664,7 @@ def report_capabilities(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN caller_count <= 3 THEN ' (few — likely a distinct code path, not shared utility)' WHEN caller_count >= 20 THEN ' (many — likely shared utility/glue)' ELSE '' END, '.') END) AS signals FROM nodes""")
 def report_signals(spark: SparkSession, d: str) -> DataFrame:
     nodes, _ = base_nodes(spark, d)
-    return report.signal_lines(nodes.withColumn("dangerous_sink_calls", F.array_sort("dangerous_sink_calls")))
+    return report.signal_lines(nodes)
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '//[^\n]*', '', 'g') AS x FROM documents),
