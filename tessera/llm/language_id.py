@@ -217,13 +217,9 @@ def learn(
     each = max(1, min(rows, total // max(1, n_langs * chars)))
     place = F.pmod(F.shiftright("o", 20), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int")
     passages = known.select("l", "o", F.substring("t", place + 1, F.lit(chars)).alias("t"))
-    # One passage a bucket, the one with the least hash: no more reach the driver.
-    found = (
-        passages.groupBy("l", F.pmod("o", F.lit(each)).alias("b"))
-        .agg(F.min(F.struct("o", "t")).alias("p"))
-        .select("l", "p.o", "p.t")
-        .collect()
-    )
+    # The least hash of each bucket, ``each`` rows a language; then the passages of these alone.
+    firsts = known.groupBy("l", F.pmod("o", F.lit(each)).alias("b")).agg(F.min("o").alias("o")).select("l", "o")
+    found = passages.join(F.broadcast(firsts), ["l", "o"]).groupBy("l", "o").agg(F.min("t").alias("t")).collect()
     by: dict[str, list[bytes]] = {}
     for r in sorted(found, key=lambda r: (r.l, r.o, r.t)):
         if x := plain(r.t):
