@@ -322,7 +322,14 @@ def order_levels(spark: SparkSession, d: str) -> DataFrame:
     return order.levels(view(spark, d, "functions"), view(spark, d, "edges"))
 
 
-@query()
+@query(NODES + CYCLIC + """,
+lev AS (SELECT f.address, CASE WHEN f.address NOT IN (SELECT address FROM bad) THEN max(lv.level) END AS level FROM functions f LEFT JOIN lv ON lv.address = f.address GROUP BY f.address),
+com AS (SELECT b.address, least(b.address, coalesce(min(x.b), b.address)) AS component FROM bad b LEFT JOIN cw x ON x.a = b.address AND EXISTS (SELECT 1 FROM cw y WHERE y.a = x.b AND y.b = b.address) GROUP BY b.address),
+bet AS (SELECT DISTINCT p.component AS a, q.component AS b FROM edges e JOIN com p ON p.address = e.caller JOIN com q ON q.address = e.callee WHERE p.component <> q.component),
+up(component, upper) AS (SELECT DISTINCT component, 0 FROM com WHERE component NOT IN (SELECT a FROM bet) UNION SELECT bet.a, up.upper + 1 FROM up JOIN bet ON bet.b = up.component),
+ups AS (SELECT component, max(upper) AS upper FROM up GROUP BY component)
+SELECT s.address, lev.level, com.component, s.total, row_number() OVER (ORDER BY lev.level NULLS LAST, ups.upper NULLS FIRST, com.component NULLS FIRST, s.total DESC, s.address) AS place
+FROM scored s JOIN lev ON lev.address = s.address LEFT JOIN com ON com.address = s.address LEFT JOIN ups ON ups.component = com.component""")
 def order_worklist(spark: SparkSession, d: str) -> DataFrame:
     """Levels, then components of what is cyclic, best score first."""
     nodes, calls, s = scores(spark, d)
