@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import (
+    clumps,
     embed_join,
     html_extract,
     language_id,
@@ -393,6 +394,68 @@ def test_embeddings_in_clusters_with_repeated_and_missing_ids(spark):
     ]
 
 
+def spread_vectors(n, dim, seed=7):
+    """Evenly spread, with pairs from the threshold on and two groups of near copies; and their links."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = n // 10
+    z = rng.normal(size=(q, dim))
+    z -= (z * x[:q]).sum(1)[:, None] * x[:q]
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    c = np.concatenate([np.full(q // 2, 0.9500001), rng.uniform(0.9, 1, q - q // 2)])[:, None]
+    x[-q:] = c * x[:q] + np.sqrt(1 - c * c) * z
+    for g, size in ((2 * q, 90), (2 * q + 90, 40)):
+        x[g : g + size] = x[g] + 0.1 / np.sqrt(dim) * rng.normal(size=(size, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x, x @ x.T >= 0.95
+
+
+def test_embeddings_spread_evenly_are_not_all_joined(spark, monkeypatch):
+    x, near = spread_vectors(6000, 64)
+    n = len(x)
+    want = components(range(n), [(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near))) if a < b])
+    joined = []
+    whole = embed_join.metric_links
+    monkeypatch.setattr(embed_join, "metric_links", lambda reps, *a: joined.append(reps.count()) or whole(reps, *a))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(n + i, v) for i, v in enumerate(x[:5].tolist())]
+    rows += [(n + 5, [0.0] * 64), (n + 6, None), (n + 7, [-0.0, 1.0]), (n + 8, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in embed_join.link_vectors(df, block=64, direct=2000).collect()}
+    assert joined == [91], "the clump of more than a block, and the vector of another length"
+    assert len(got) == len(rows)
+    copies = 1 + (np.arange(n) < 5)
+    for i in range(n):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i] @ copies - 1, want[i], want[i] == i)
+    assert all(got[n + i].component_id == want[i] and got[n + i].n_links == near[i] @ copies - 1 for i in range(5))
+    assert [got[n + i].n_links for i in range(5, 9)] == [0, 0, 1, 1]
+
+
+@pytest.mark.parametrize(("n", "dim", "part", "whole"), [(4000, 33, 1 << 18, 2048), (4000, 64, 30, 10), (3000, 300, 1 << 18, 8)])
+def test_clumps_hold_all_links(spark, n, dim, part, whole):
+    x, near = spread_vectors(n, dim)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "rep long, v array<double>").repartition(2)
+    found = clumps.edges(df, dim, n, x[:1000], 0.95, part=part, whole=whole).collect()
+    of = components(range(n), [(r.u, r.v) for r in found])
+    assert all(of[a] == of[b] for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    assert len(found) < n, "few others are drawn in"
+
+
+def test_short_vectors_are_within_their_bound():
+    for dim in (1, 7, 64, 300):
+        x = np.float32(np.random.default_rng(dim).standard_cauchy(size=(300, dim)))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        short = clumps.shorten(x, np.arange(300))
+        y, e = clumps.lengthen(short, dim), 1 + short["err"].astype(float)
+        z = x @ clumps.rotation(dim, dim, 0)
+        assert (np.abs(z @ z.T - y @ y.T) <= np.outer(e, e) - 1 + 1e-5).all()
+    links = np.random.default_rng(1).random((40, 60)) < 0.05
+    u, v = clumps.thin(links)
+    assert links[u, v].all()
+    nodes = range(100)
+    assert components(nodes, list(zip(u, v + 40))) == components(nodes, [(a, b + 40) for a, b in zip(*np.nonzero(links))])
+
+
 def brute_class_model(train, model, n_classes):
     """Score of a text's tokens under the class bigrams of model.cls, counted anew."""
     cls = {w: int(model.cls[i]) for w, i in model.symbol.items()}
