@@ -6,7 +6,8 @@ to every task and are all assigned to classes by exchange clustering over the co
 their bigrams: a round looks at each word and moves it to the class that raises the
 likelihood of the class bigrams most, the ``one_by_one`` most frequent words in turn and
 exactly, the others, each of which hardly changes the classes, in batches and to first order.
-Bigrams stay a distributed table; a round gets from it
+Bigrams stay a distributed table, packed in blocks by their first and, once more, by their
+second symbol, so that a round gets from one scan, without a shuffle,
 what stands before and after each head word by class (head x classes counts, whatever the
 corpus), as of the round's start, as in distributed exchange clustering (Uszkoreit and
 Brants, 2008). Rounds end when one does not raise the likelihood, moves few words, or is the
@@ -25,11 +26,12 @@ head; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,38 @@ LONGEST = 64
 BATCH = 4096
 #: Distinct bigrams that a task holds.
 PAIRS = 4_000_000
+#: Bigrams that a task gathers before it counts them.
+GATHER = 1 << 21
+#: Blocks that bigrams are packed in.
+BLOCKS = 256
+#: Bytes of text that are split into words at once.
+PORTION = 1 << 23
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their texts are one or have at most PORTION bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            most = PORTION + (int(ends[at - 1]) if at else 0)
+            to = max(at + 1, int(np.searchsorted(ends, most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words (and maybe an empty one), the place of each text's words among them in
+    their order, and each text's number of words."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = parts.flatten().dictionary_encode()
+    place = coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy())
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # beside blanks at a text's ends
+        there = place != empty
+        place, text = place[there], text[there]
+    return coded.dictionary.cast(pa.binary()), place, np.bincount(text, minlength=len(parts))
 
 
 def length_class(n: int) -> int:
@@ -59,7 +89,7 @@ def length_class(n: int) -> int:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+    seen: defaultdict[bytes, int] = defaultdict(int)
 
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays(
@@ -68,13 +98,16 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return batch
 
-    for batch in batches:
-        for x in batch.column(0):
-            seen.update(tokens(x.as_py()))
-            seen[END] += 1
-            if len(seen) > FLUSH:
-                yield out()
-    yield out()
+    for batch in portions(batches):
+        words, place, _ = tokens(batch.column("text"))
+        for w, n in zip(words.to_pylist(), np.bincount(place, minlength=len(words)).tolist()):
+            if n:
+                seen[w] += n
+        seen[END] += len(batch)
+        if len(seen) > FLUSH:
+            yield out()
+    if seen:
+        yield out()
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -175,11 +208,18 @@ class ClassModel:
         self.symbol = {w: i for i, w in enumerate([*head, END])}
         self.n_symbols = len(self.symbol) + N_LENGTHS
 
-    def ids(self, words: list[bytes]) -> list[int]:
-        """Symbols of a text between two ends; other words by their length."""
-        get, base = self.symbol.get, len(self.symbol)
-        end = self.symbol[END]
-        return [end, *(i if (i := get(w)) is not None else base + length_class(len(w)) for w in words), end]
+    def symbols(self, words: pa.Array) -> np.ndarray:
+        """Symbol of each word; of those beyond the head by their length."""
+        known = np.array([self.symbol.get(w, -1) for w in words.to_pylist()], np.int64)
+        lengths = np.searchsorted(LENGTH_BOUNDS, pc.binary_length(words).to_numpy(), "right")
+        return np.where(known < 0, len(self.symbol) + lengths, known)
+
+    def line(self, ids: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """The symbols of texts in a line, with an end before, between and after them: text i
+        has n_words[i] + 1 bigrams there, as if it stood between two ends of its own."""
+        line = np.full(len(ids) + len(n_words) + 1, self.symbol[END])
+        line[np.arange(len(ids)) + np.repeat(np.arange(len(n_words)), n_words) + 1] = ids
+        return line
 
     def classes(self, cls: np.ndarray, n_classes: int) -> np.ndarray:
         """Class of each symbol: the head's, then one for the end and one for each length."""
@@ -200,42 +240,99 @@ class ClassModel:
             self.emit[words + 1 + r] = -math.log10(length_tokens[r] + ALPHA * (length_types[r] + 1))
 
 
-def bigrams(train: DataFrame, model: ClassModel) -> DataFrame:
-    """(text) -> (a, b, n): bigrams of symbols, combined in each task and then by a shuffle."""
-    sent = train.sparkSession.sparkContext.broadcast(model)
+PACKED = "side int, block int, own binary, other binary, n binary"
+
+
+def packed(side: int, block: np.ndarray, own: np.ndarray, other: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row per block that occurs, with its bigrams as bytes."""
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    cols = [pa.array(np.full(len(first), side, np.int32)), pa.array(block[first].astype(np.int32))]
+    for x, kind in ((own, np.int32), (other, np.int32), (n, np.int64)):
+        x = np.ascontiguousarray(x[order], kind)
+        ends = (np.append(first, len(x)) * x.itemsize).astype(np.int32)
+        cols.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(x)]))
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PACKED.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        n = m.n_symbols
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[np.ndarray] = []
-        size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            fresh, c = np.unique(np.concatenate(pending), return_counts=True)
-            both, where = np.unique(np.concatenate([codes, fresh]), return_inverse=True)
-            return both, np.bincount(where, weights=np.concatenate([counts, c]), minlength=len(both)).astype(np.int64)
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for side, block, own, other, n in zip(*(c.to_pylist() for c in batch.columns)):
+        yield side, block, np.frombuffer(own, np.int32), np.frombuffer(other, np.int32), np.frombuffer(n, np.int64)
+
+
+class Bigrams:
+    """Counts of bigrams (as first * n_symbols + second) that a task adds up."""
+
+    def __init__(self) -> None:
+        self.pending: list[tuple[np.ndarray, np.ndarray | None]] = []
+        self.size = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, codes: np.ndarray, counts: np.ndarray | None = None) -> bool:
+        """counts: of each, or each once. True when the sums should be taken."""
+        self.pending.append((codes, counts))
+        self.size += len(codes)
+        if self.size > GATHER:
+            self.merge()
+        return len(self.codes) > PAIRS
+
+    def merge(self) -> None:
+        counted = [(self.codes, self.counts), *((c, n) for c, n in self.pending if n is not None)]
+        if once := [c for c, n in self.pending if n is None]:
+            counted.append(np.unique(np.concatenate(once), return_counts=True))
+        self.pending, self.size = [], 0
+        codes, counts = (np.concatenate(x) for x in zip(*counted))
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.codes, self.counts = codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def bigrams(train: DataFrame, model: ClassModel) -> DataFrame:
+    """(text) -> packed bigrams of symbols, side 0 with all of a first symbol (own) in its
+    block, side 1 with all of a second. They are counted in each task, then by a shuffle in
+    blocks that a frequent symbol is spread over."""
+    spark = train.sparkSession
+    sent, n = spark.sparkContext.broadcast(model), model.n_symbols
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = sent.value, Bigrams()
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array((codes // n).astype(np.int32)), pa.array((codes % n).astype(np.int32)), pa.array(counts)]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "n"])
+            a, b = np.divmod(seen.codes, n)
+            batch = packed(0, (31 * a + b) % BLOCKS, a, b, seen.counts)
+            seen.clear()
+            return batch
 
-        for batch in batches:
-            for x in batch.column(0):
-                ids = np.array(m.ids(tokens(x.as_py())), np.int64)
-                pending.append(ids[:-1] * n + ids[1:])
-                size += len(ids)
-                if size > 1 << 21:
-                    codes, counts = merged()
-                    pending, size = [], 0
-                    if len(codes) > PAIRS:
-                        yield out()
-                        codes, counts = codes[:0], counts[:0]
-        if pending:
-            codes, counts = merged()
+        for batch in portions(batches):
+            words, place, n_words = tokens(batch.column("text"))
+            line = m.line(m.symbols(words)[place], n_words)
+            if seen.add(line[:-1] * n + line[1:]):
+                yield out()
+        seen.merge()
         yield out()
 
-    return train.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Bigrams()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            a, b = np.divmod(seen.codes, n)
+            yield packed(0, a % BLOCKS, a, b, seen.counts)
+            yield packed(1, b % BLOCKS, b, a, seen.counts)
+            seen.clear()
+
+        for batch in batches:
+            for _, _, a, b, counts in unpacked(batch):
+                if seen.add(a.astype(np.int64) * n + b, counts):
+                    yield from out()
+        seen.merge()
+        yield from out()
+
+    return train.mapInArrow(count, PACKED).repartition("block").mapInArrow(add_up, PACKED).repartition("side", "block")
 
 
 def learn(train: DataFrame, head: int, n_classes: int, rounds: int) -> tuple[ClassModel, DataFrame]:
@@ -261,33 +358,48 @@ def learn(train: DataFrame, head: int, n_classes: int, rounds: int) -> tuple[Cla
     pairs = settle(bigrams(train, model), "bigrams")
     words = len(lookup)
     n_classes = max(1, min(n_classes, words))
-    width = n_classes + 1 + N_LENGTHS
-    twice = np.zeros(words)
-    own = pairs.where((F.col("a") == F.col("b")) & (F.col("a") < words)).select("a", "n").toArrow()
-    twice[own["a"].to_numpy()] = own["n"].to_numpy()
+    width, rows = n_classes + 1 + N_LENGTHS, -(-model.n_symbols // BLOCKS)
+    tables: dict[bytes, np.ndarray] = {}
 
     def look(cls: np.ndarray) -> tuple[Contexts, np.ndarray]:
-        """At most 2 * (head + 5) * (n_classes + 5) counts, whatever the input."""
+        """At most 2 * (head + 5 + BLOCKS) * (n_classes + 6) counts, whatever the input, from
+        each task that shares in a block."""
         own = model.classes(cls, n_classes)
-        names = spark.createDataFrame(pa.table({"s": pa.array(np.arange(len(own), dtype=np.int32)), "c": pa.array(own.astype(np.int32))}))
-        sides = []
-        for at, of in (("a", "b"), ("b", "a")):
-            met = pairs.join(F.broadcast(names), pairs[of] == names["s"]).groupBy(at, "c").agg(F.sum("n").alias("n"))
-            cell = (F.col(at).cast("long") * width + F.col("c")).alias("cell")
-            seen = met.select(cell, "n").toArrow()
-            x = np.zeros(model.n_symbols * width, np.float32)
-            x[seen["cell"].to_numpy()] = seen["n"].to_numpy()
-            del seen
-            sides.append(x.reshape(-1, width))
-        after, before = sides
+        sent = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Counts by class of the other symbol, and of the symbol beside itself."""
+            of, sums = sent.value, {}
+            for batch in batches:
+                for side, block, s, other, n in unpacked(batch):
+                    if (x := sums.get((side, block))) is None:
+                        x = sums[side, block] = np.zeros(rows * (width + 1))
+                    at = s // BLOCKS * (width + 1)
+                    np.add.at(x, at + of[other], n.astype(float))
+                    same = s == other
+                    np.add.at(x, at[same] + width, n[same].astype(float))
+            if sums:
+                cols = [pa.array([k[i] for k in sums], pa.int32()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["side", "block", "x"])
+
+        both = np.zeros((2, rows * BLOCKS, width + 1))
+        seen = pairs.mapInArrow(run, "side int, block int, x binary").toArrow()
+        for side, block, x in zip(*seen.columns):
+            both[side.as_py(), block.as_py() :: BLOCKS] += np.frombuffer(x.as_buffer()).reshape(rows, -1)
+        del seen
+        sent.destroy()
+        after, before = both[:, : model.n_symbols, :width]
         table = np.zeros((width, width))
         for c in range(width):
-            table[c] = after[own == c].sum(0, dtype=float)
-        return (before[:words], after[:words], twice), table
+            table[c] = after[own == c].sum(0)
+        tables[cls.tobytes()] = table.copy()
+        return (before[:words], after[:words], both[0, :words, width]), table
 
     frequency = np.fromiter(lookup.values(), float, words)
     cls = exchange(look, frequency, n_classes, rounds) if words else np.zeros(0, np.int64)
-    model.fit(model.classes(cls, n_classes), look(cls)[1], tok, typ)
+    if (table := tables.get(cls.tobytes())) is None:
+        table = look(cls)[1]
+    model.fit(model.classes(cls, n_classes), table, tok, typ)
     return model, counts
 
 
@@ -317,34 +429,34 @@ def score_texts(
         """Per text a row of what the head words decide, under a word of its own
         (with a blank, so that it meets no count), and a row per other word."""
         m = sent.value
-        logs = {w: math.log10(n + ALPHA) for w, n in m.head.items()}
-        end_known, end_log = int(m.ends > 0), math.log10(m.ends + ALPHA)
-        rows: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [()] * len(NAMES)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
-            rows.clear()
-            return batch
-
-        for batch in batches:
-            for doc_id, th, held, x in zip(*(c.to_pylist() for c in batch.columns)):
-                words = tokens(x)
-                ids = np.array(m.ids(words))
-                cls = m.cls[ids]
-                score = float(m.logt[cls[:-1], cls[1:]].sum() + m.emit[ids[1:-1]].sum())
-                base, known = end_log, end_known
-                for w, c in Counter(words).items():
-                    if (v := logs.get(w)) is None:
-                        rows.append((doc_id, th, held, w, c, 0, 0, 0, 0.0, 0.0))
-                    else:
-                        base += c * v
-                        known += c
-                rows.append((doc_id, th, held, b" %d %d" % (doc_id or 0, th), 0, 1, len(words) + 1, known, base, score))
-                if len(rows) > FLUSH // 3:
-                    yield out()
-        yield out()
+        head, k = len(m.head), len(m.logt)
+        logs, known = np.zeros(m.n_symbols), np.zeros(m.n_symbols, np.int64)
+        logs[:head] = np.log10(np.fromiter(m.head.values(), float, head) + ALPHA)
+        known[:head] = 1
+        logs[head], known[head] = math.log10(m.ends + ALPHA), int(m.ends > 0)
+
+        def out(some: pa.RecordBatch, text: np.ndarray, word: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
+            cols = [*(c.take(pa.array(text)) for c in some.columns[:3]), word, *(pa.array(x) for x in numbers)]
+            return pa.RecordBatch.from_arrays(cols, names=NAMES)
+
+        for batch in portions(batches):
+            texts = np.arange(len(batch))
+            words, place, n_words = tokens(batch.column("text"))
+            ids = m.symbols(words)[place]
+            line = m.line(ids, n_words)
+            cls = m.cls[line]
+            at = np.cumsum(n_words + 1) - (n_words + 1)
+            score = np.add.reduceat(m.logt.ravel()[cls[:-1] * k + cls[1:]] + m.emit[line[1:]], at)
+            base, seen = np.add.reduceat(logs[line[1:]], at), np.add.reduceat(known[line[1:]], at)
+            rare = ids >= len(m.symbol)
+            pair, tf = np.unique(np.repeat(texts, n_words)[rare] * len(words) + place[rare], return_counts=True)
+            for i in range(0, len(pair), FLUSH // 3):
+                text, word = np.divmod(pair[i : i + FLUSH // 3], len(words))
+                none, zero = np.zeros(len(text), np.int64), np.zeros(len(text))
+                yield out(batch, text, words.take(pa.array(word)), tf[i : i + FLUSH // 3], none, none, none, zero, zero)
+            own = [b" %d %d" % (i or 0, th) for i, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            one = np.ones(len(batch), np.int64)
+            yield out(batch, texts, pa.array(own, pa.binary()), 0 * one, one, n_words + 1, seen, base, score)
 
     n, v = model.total, model.types
     rare = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ALPHA)) * F.col("tf")

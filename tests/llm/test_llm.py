@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -525,6 +526,89 @@ def test_lm_scoring_of_few_long_texts(spark):
         assert r.n_known == r.n_tokens == 122 and abs(r.base_score - base) < 1e-6 * abs(base)
 
 
+def test_lm_tokens_and_bigrams_in_parts(monkeypatch):
+    texts = [None, "", " \n", "One two", " one\x0btwo\x0cthree  one ", "a\x1cb\x85c\u2003d \x00 É É", "x " * 50, "lonG" * 9 + " b one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got, place, n_words = lm_scoring.tokens(batch.column(0).slice(0))
+    assert [got[i].as_py() for i in place.tolist()] == [w for x in texts for w in words(x)]
+    assert n_words.tolist() == [len(words(x)) for x in texts]
+    counts = Counter(w for x in texts for w in words(x)) + Counter({b"": len(texts)})
+    model = lm_scoring.ClassModel({w: counts[w] for w in (b"one", b"x", "É".encode())}, len(texts), 1, 1)
+    symbol = lambda w: model.symbol[w] if w in model.symbol else 4 + lm_scoring.length_class(len(w))
+    lines = [[symbol(w) for w in (b"", *words(x), b"")] for x in texts]
+    pairs = Counter(p for t in lines for p in zip(t, t[1:]))
+    for gather, most, portion in ((1 << 21, 4_000_000, 1 << 23), (3, 2, 10)):
+        for name, value in (("GATHER", gather), ("PAIRS", most), ("PORTION", portion), ("FLUSH", most), ("BLOCKS", 2)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        seen, found, total = Counter(), Counter(), Counter()
+        for part in lm_scoring.count_words(iter([batch, batch.slice(0, 0)])):
+            for w, n in zip(*(c.to_pylist() for c in part.columns)):
+                seen[w] += n
+        assert seen == counts
+        sums, n = lm_scoring.Bigrams(), model.n_symbols
+
+        def take():
+            a, b = np.divmod(sums.codes, n)
+            for _, block, a, b, c in lm_scoring.unpacked(lm_scoring.packed(0, a % 2, a, b, sums.counts)):
+                assert (a % 2 == block).all()
+                found.update(dict(zip(zip(a.tolist(), b.tolist()), c.tolist())))
+            sums.clear()
+
+        for part in lm_scoring.portions(iter([batch])):
+            w, place, n_words = lm_scoring.tokens(part.column(0))
+            line = model.line(model.symbols(w)[place], n_words)
+            if sums.add(line[:-1] * n + line[1:]):
+                take()
+        sums.merge()
+        take()
+        assert found == pairs
+        twice = lm_scoring.Bigrams()
+        for (a, b), c in [*found.items(), *found.items()]:
+            if twice.add(np.array([a * n + b]), np.array([c])):
+                total.update(dict(zip(twice.codes.tolist(), twice.counts.tolist())))
+                twice.clear()
+        twice.merge()
+        total.update(dict(zip(twice.codes.tolist(), twice.counts.tolist())))
+        assert total == Counter({a * n + b: 2 * c for (a, b), c in pairs.items()})
+
+
+def test_a_round_of_exchange_is_one_scan_of_exact_counts(spark, corpus, monkeypatch):
+    train = docs_of(spark, corpus).select("text")
+    seen = []
+
+    def stages(looks):
+        def exchange(look, frequency, n_classes, rounds):
+            cls = np.arange(len(frequency)) % n_classes
+            seen.extend(look(cls) for _ in range(looks))
+            return cls
+
+        monkeypatch.setattr(lm_scoring, "exchange", exchange)
+        group, tracker = f"looks {looks}", spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(group, group)
+        model, _ = lm_scoring.learn(train, 300, 4, 1)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        time.sleep(2)  # the tracker hears of jobs a little later
+        return model, sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group))
+
+    (model, once), (_, thrice) = stages(1), stages(3)
+    assert thrice - once == 2
+    head, k = len(model.head), 4 + 1 + lm_scoring.N_LENGTHS
+    symbol = lambda w: model.symbol[w] if w in model.symbol else head + 1 + lm_scoring.length_class(len(w))
+    before, after, twice, table = np.zeros((head, k)), np.zeros((head, k)), np.zeros(head), np.zeros((k, k))
+    for _, x, *_ in corpus:
+        t = [symbol(w) for w in (b"", *words(x), b"")]
+        for a, b in zip(t, t[1:]):
+            table[model.cls[a], model.cls[b]] += 1
+            if a < head:
+                after[a, model.cls[b]] += 1
+                twice[a] += a == b
+            if b < head:
+                before[b, model.cls[a]] += 1
+    assert head == 300 and len(seen) == 4
+    for contexts, classes in seen:
+        assert all(np.array_equal(x, y) for x, y in zip((*contexts, classes), (before, after, twice, table)))
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(1)
     kind = np.arange(40) % 4
